@@ -86,6 +86,31 @@ def shape(template: str) -> str:
 
 
 def shapes(templates: Iterable[str]) -> str:
-    """One regex for all templates, longer ones first."""
-    unique = sorted({shape(t) for t in templates}, key=lambda s: (-len(s), s))
-    return "|".join(f"(?:{s})" for s in unique) if unique else "$^"
+    """One regex for all templates, longer ones first.
+
+    Shapes are listed by first character behind a look-ahead, so that most positions of a
+    text fail after one class test.
+    """
+    by_first: dict[str, set[str]] = {}
+    for t in templates:
+        first = t[0] if t[0] != "@" else {"@ip": "1", "@mac": "A", "@account": "1", "@arn": "a"}[t]
+        by_first.setdefault("0-9" if first in "0123456789{" else first, set()).add(shape(t))
+    if not by_first:
+        return "$^"
+    heads = {f: f if f == "0-9" else re.sub(r"([\[\]^\\-])", r"\\\1", f) for f in by_first}
+    groups = [
+        f"(?=[{heads[f]}])(?:{'|'.join(sorted(by_first[f], key=lambda s: (-len(s), s)))})"
+        for f in sorted(by_first)
+    ]
+    return f"(?=[{''.join(heads[f] for f in sorted(by_first))}])(?:{'|'.join(groups)})"
+
+
+def shorter(token: str) -> str:
+    """SQL: the token cut inside its final digits, longest first, without itself.
+
+    A digit that follows a pseudonym in the text reads as part of its number; one of these
+    is then the pseudonym.
+    """
+    digits = f"length(regexp_extract({token}, '([0-9]*)$', 1))"
+    return (f"CASE WHEN {digits} > 1 THEN transform(sequence(1, {digits} - 1),"
+            f" j -> left({token}, length({token}) - j)) ELSE CAST(array() AS array<string>) END")

@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 
 from textveil.functions.detectors import Detector
 from textveil.functions.sql import text
-from textveil.functions.templates import shapes
+from textveil.functions.templates import shapes, shorter
 from textveil.operators.mapping import document_scope
 from textveil.operators.rewrite import apply_edits, edits_by_key
 from textveil.operators.scan import Scanner, explode_spans
+from textveil.plans.storage import stage
 
 # Up to this many entries a mapping is written into the expression (checked, not assumed).
 INLINE_ENTRIES = 10_000
@@ -68,13 +69,30 @@ def find_tokens(
         *key, "v_start", "v_end", F.col("value").alias("pseudonym"))
 
 
-def join_tokens(
-    tokens: DataFrame, mapping: DataFrame, scope: Column, how: str = "inner",
-) -> DataFrame:
-    """Value of each token, within its scope; only rows that stand for one value."""
+def join_tokens(tokens: DataFrame, mapping: DataFrame, scope: Column) -> DataFrame:
+    """Tokens of the mapping with their ``_value``, within their scope.
+
+    A token that is not in the mapping may be a pseudonym with digits of the text behind
+    it; then the longest of its shorter readings counts. Those are few, so only they are
+    multiplied. Tokens are written first: finding them is the expensive part.
+    """
     known = mapping.where("reversible").select(
         F.col("scope").alias("_scope"), "pseudonym", F.col("value").alias("_value"))
-    return tokens.withColumn("_scope", scope).join(known, ["_scope", "pseudonym"], how)
+    tokens = stage(tokens.withColumn("_scope", scope), "tokens")
+    on = ["_scope", "pseudonym"]
+    exact = tokens.join(known, on)
+    place = [c for c in tokens.columns if c != "pseudonym"]
+    readings = (
+        tokens.join(known, on, "left_anti")
+        .withColumn("pseudonym", F.explode(F.expr(shorter("pseudonym"))))
+        .join(known, on)
+        .groupBy(*place)
+        .agg(F.max(F.struct(F.length("pseudonym"), "pseudonym", "_value")).alias("_r"))
+        .withColumn("pseudonym", F.col("_r.pseudonym"))
+        .withColumn("_value", F.col("_r._value")).drop("_r")
+        .withColumn("v_end", F.col("v_start") + F.length("pseudonym"))
+    )
+    return exact.unionByName(readings)
 
 
 def restore_join(

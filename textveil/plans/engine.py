@@ -14,7 +14,7 @@ from textveil.functions.detectors import (
     BUILT_IN, Detector, custom_detector, custom_words, enabled, foreign_secrets, ordered,
 )
 from textveil.functions.dialect import java
-from textveil.functions.templates import shapes
+from textveil.functions.templates import shapes, shorter
 from textveil.operators.mapping import build_mapping, distinct_values, document_scope, with_scope
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
 from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, redact_in_row
@@ -161,12 +161,23 @@ class Veil:
         scanned = stage(self.scan(df, columns, key), "scanned")
         if scope == "document" and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
+        return self.redact_scanned(scanned, columns, key, order, scope, mapping)
+
+    def redact_scanned(
+        self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
+        order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
+    ) -> Redaction:
+        """Number, render and rewrite a table that :meth:`scan` made and that was written."""
         keep = [] if scope in ("corpus", "document") else [scope]
+        keep = [c for c in keep if c not in key]
         findings = with_scope(self.findings(scanned, columns, key, keep), scope, key)
         values = stage(distinct_values(findings, [*key, "col"]), "values")
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
-        ]).distinct()
+        ])
+        # a token also stands for its shorter readings, see restore.join_tokens
+        leftover = leftover.select(
+            F.expr(f"explode(concat(array(token), {shorter('token')})) AS token")).distinct()
         table = stage(build_mapping(values, self.detectors, scope, mapping, leftover), "mapping")
         total = values.agg(F.sum("uses")).first()[0] or 0
         hot = hot_keys(values, ["scope", "value"], total)
