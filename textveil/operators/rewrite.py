@@ -20,7 +20,7 @@ def rebuild_text(column: str, edits: str) -> Column:
         f"CASE WHEN coalesce(size({edits}), 0) = 0 THEN `{column}` ELSE array_join(concat("
         f"transform({edits}, (x, i) -> concat(substring(`{column}`, {before} + 1,"
         f" x.v_start - {before}), x.new)),"
-        f" array(substring(`{column}`, {edits}[size({edits}) - 1].v_end + 1, 2147483647))), '')"
+        f" array(substring(`{column}`, {edits}[size({edits}) - 1].v_end + 1))), '')"
         " END"
     )
 

@@ -324,7 +324,7 @@ class Scanner:
             " ELSE _shadow END AS _r",
         )
         df = df.selectExpr("*", (
-            f"transform(slice(split(_r, '{OPEN}'), 2, 2147483647), p ->"
+            f"transform(filter(split(_r, '{OPEN}'), (p, i) -> i > 0), p ->"
             f" split(substring_index(p, '{CLOSE}', 1), '{SEP}', -1)[2]) AS _candidates"
         ))
         df = df.withColumn("_flags", check("_candidates"))
