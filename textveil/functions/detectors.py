@@ -147,11 +147,11 @@ BUILT_IN: tuple[Detector, ...] = (
               H, r"[A-Z]{2}\d{8,12}[A-Z]?", "VAT{n:09d}"),
     # --- keyword secrets ------------------------------------------------------------
     Detector("generic_secret", "secret",
-             rf"((?:{_SECRET_KEY}){w.SECRET_LINK}\s*[\"'])([^\"']{{4,500}})(?=[\"'])",
+             rf"((?:{_SECRET_KEY})(?i:{w.SECRET_LINK})\s*[\"'])([^\"']{{4,500}})(?=[\"'])",
              "REDACTED_SECRET_{n}", 39, "low", 1, 2, ("not_redacted",),
              literals=_SECRET_HINTS, gate="quote"),
     Detector("generic_secret_unquoted", "secret",
-             rf"((?:{_SECRET_KEY}){w.SECRET_LINK}\s*)([^\s\"']{{4,500}})",
+             rf"((?:{_SECRET_KEY})(?i:{w.SECRET_LINK})\s*)([^\s\"']{{4,500}})",
              "REDACTED_SECRET_{n}", 39, "low", 1, 2, ("not_redacted",), literals=_SECRET_HINTS),
     # --- health, tax and national numbers ---------------------------------------------
     _labelled("id_nhs", "ssn", 43, "high", r"nhs|nhs\s+number|nhs\s+no", P,
@@ -263,9 +263,10 @@ BUILT_IN: tuple[Detector, ...] = (
     # --- persons ----------------------------------------------------------------------
     _plain("person_name", "ssn", 69, "medium", r"(?=[A-Z])\<[A-Z][a-z]{1,14}\s+[A-Z][a-z']{1,19}\b",
            "[PERSON_{n}]", check=("known_name",)),
+    # names have at most 127 labels; an open repetition would recurse without bound
     _plain("domain", "domain", 70, "low",
            r"\<(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)"
-           r"+(?:com|org|net|io|dev|co|app|cloud|internal|local|corp)\>",
+           r"{1,127}(?:com|org|net|io|dev|co|app|cloud|internal|local|corp)\>",
            "redacted-host-{n}.example.net", check=("own_domain",),
            literals=(".com", ".org", ".net", ".io", ".dev", ".co", ".app", ".cloud", ".internal",
                      ".local", ".corp")),
@@ -301,12 +302,12 @@ BUILT_IN: tuple[Detector, ...] = (
            "2000-01-01", gate="joined_digits"),
     # --- keyword identifiers ----------------------------------------------------------
     Detector("generic_identifier", "identifier",
-             rf"((?:{_IDENTIFIER_KEY}){w.IDENTIFIER_LINK}\s*[\"'])([^\"']{{2,}})(?=[\"'])",
+             rf"((?:{_IDENTIFIER_KEY})(?i:{w.IDENTIFIER_LINK})\s*[\"'])([^\"']{{2,}})(?=[\"'])",
              "REDACTED_IDENTIFIER_{n}", 85, "low", 1, 2,
              ("not_redacted", "own_domain_value", "uncommon"), literals=_IDENTIFIER_HINTS,
              gate="quote"),
     Detector("generic_identifier_unquoted", "identifier",
-             rf"((?:{_IDENTIFIER_KEY}){w.IDENTIFIER_LINK}\s*)([^\s\"']{{2,}})",
+             rf"((?:{_IDENTIFIER_KEY})(?i:{w.IDENTIFIER_LINK})\s*)([^\s\"']{{2,}})",
              "REDACTED_IDENTIFIER_{n}", 85, "low", 1, 2,
              ("not_redacted", "own_domain_value", "uncommon"), literals=_IDENTIFIER_HINTS),
 )
@@ -352,7 +353,7 @@ def foreign_secrets(
             tail = r"\s*[\"'])([^\"']{4,})(?=[\"'])" if quoted else r"\s*)([^\s\"']{4,})"
             made.append(Detector(
                 f"i18n_secret_{lang}" if quoted else f"i18n_secret_unquoted_{lang}",
-                "secret", rf"((?:{key}){w.FOREIGN_LINK}{tail}", "REDACTED_SECRET_{n}",
+                "secret", rf"((?:{key})(?iu:{w.FOREIGN_LINK}){tail}", "REDACTED_SECRET_{n}",
                 41 if quoted else 40, "high", 1, 2, ("not_redacted",),
                 literals=fewest(k.lower() for k in listed),
                 gate="quote" if quoted else None, languages=(lang,),

@@ -11,8 +11,7 @@ from textveil.functions import words as w
 from textveil.functions.detectors import Detector
 from textveil.functions.sql import text
 from textveil.operators.scan import SPAN
-from textveil.plans.engine import Redaction, Veil
-from textveil.plans.storage import stage
+from textveil.plans.engine import Redaction, Veil, stage_scanned
 
 ENV_SECRET = Detector("env_secret", "env", "$^", "REDACTED_ENV_{n}", 1_000, "medium")
 
@@ -66,10 +65,11 @@ def redact_env(
     """Redact ``(path, line_no, line)``; ``documents`` has the same columns."""
     engine = engine or Veil()
     order = lines.columns
-    scanned = stage(find_env_secrets(lines, engine, key), "env")
+    scanned = stage_scanned(find_env_secrets(lines, engine, key), ["value"])
     worker = Veil(detectors=())
     worker.detectors = [*engine.detectors, ENV_SECRET]
-    done = worker.redact_scanned(scanned, ["value"], list(key), scanned.columns, scope)
+    done = worker.redact_scanned(
+        scanned, ["value"], list(key), [*order, "head", "quote", "value", "tail"], scope)
     documents = done.documents.withColumn("line", F.coalesce(
         F.concat("head", "quote", "value", "quote", "tail"), F.col("line"))).select(*order)
     return Redaction(documents, done.mapping, done.findings)

@@ -15,6 +15,7 @@ from textveil.functions.templates import shapes, shorter
 from textveil.operators.mapping import document_scope
 from textveil.operators.rewrite import apply_edits, edits_by_key
 from textveil.operators.scan import Scanner, explode_spans
+from textveil.operators.skew import hot_keys, join_hot
 from textveil.plans.storage import stage
 
 # Up to this many entries a mapping is written into the expression (checked, not assumed).
@@ -58,41 +59,57 @@ def restore_exact(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return df.withColumn(column, replace_entries(F.col(column), entries))
 
 
-def find_tokens(
-    df: DataFrame, column: str, key: Sequence[str], detectors: Sequence[Detector],
+def scan_tokens(
+    df: DataFrame, column: str, detectors: Sequence[Detector],
 ) -> DataFrame:
-    """Pseudonym-shaped tokens of each text, with positions."""
-    shape = Detector("token", "token", shapes(d.template for d in detectors), "")
-    scanner = Scanner([shape])
-    spans = scanner.spans(df.select(*key, column), column)
-    return explode_spans(spans, scanner.detectors, key).select(
-        *key, "v_start", "v_end", F.col("value").alias("pseudonym"))
+    """``df`` plus ``_tokens``, the pseudonym-shaped tokens of its text; written, with the
+    rows that hold any (``_dirty``) apart from the others."""
+    scanner = Scanner([_shape(detectors)])
+    scanned = scanner.spans(df, column, "_tokens").withColumn("_dirty", F.expr("size(_tokens) > 0"))
+    return stage(scanned, "tokens", split="_dirty")
 
 
-def join_tokens(tokens: DataFrame, mapping: DataFrame, scope: Column) -> DataFrame:
+def _shape(detectors: Sequence[Detector]) -> Detector:
+    return Detector("token", "token", shapes(d.template for d in detectors), "")
+
+
+def tokens_of(scanned: DataFrame, key: Sequence[str], scope: Column) -> DataFrame:
+    """One row per token: ``(key, _scope, v_start, v_end, pseudonym)``."""
+    rows = scanned.where("_dirty").withColumn("_scope", scope)
+    return explode_spans(rows, [_shape(())], [*key, "_scope"], "_tokens").select(
+        *key, "_scope", "v_start", "v_end", F.col("value").alias("pseudonym"))
+
+
+def join_tokens(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
     """Tokens of the mapping with their ``_value``, within their scope.
 
     A token that is not in the mapping may be a pseudonym with digits of the text behind
     it; then the longest of its shorter readings counts. Those are few, so only they are
-    multiplied. Tokens are written first: finding them is the expensive part.
+    multiplied. Frequent tokens are spread over salts.
     """
+    on = ["_scope", "pseudonym"]
     known = mapping.where("reversible").select(
         F.col("scope").alias("_scope"), "pseudonym", F.col("value").alias("_value"))
-    tokens = stage(tokens.withColumn("_scope", scope), "tokens")
-    on = ["_scope", "pseudonym"]
-    exact = tokens.join(known, on)
-    place = [c for c in tokens.columns if c != "pseudonym"]
+    counts = stage(tokens.groupBy(*on).agg(F.count(F.lit(1)).alias("uses")), "counts")
+    hot = hot_keys(counts, on, counts.agg(F.sum("uses")).first()[0] or 0)
+    place = [c for c in tokens.columns if c not in on]
+    exact = join_hot(tokens, known, on, hot, place).select(*tokens.columns, "_value")
+    # which distinct tokens have a shorter reading in the mapping: a small table
     readings = (
-        tokens.join(known, on, "left_anti")
-        .withColumn("pseudonym", F.explode(F.expr(shorter("pseudonym"))))
+        counts.join(known, on, "left_anti").withColumn("_token", F.col("pseudonym"))
+        .withColumn("pseudonym", F.explode(F.expr(shorter("_token"))))
         .join(known, on)
-        .groupBy(*place)
+        .groupBy("_scope", "_token")
         .agg(F.max(F.struct(F.length("pseudonym"), "pseudonym", "_value")).alias("_r"))
-        .withColumn("pseudonym", F.col("_r.pseudonym"))
-        .withColumn("_value", F.col("_r._value")).drop("_r")
-        .withColumn("v_end", F.col("v_start") + F.length("pseudonym"))
+        .select("_scope", F.col("_token").alias("pseudonym"),
+                F.col("_r.pseudonym").alias("_read"), F.col("_r._value").alias("_value"))
+    )
+    read = (
+        join_hot(tokens, readings, on, hot, place)
+        .withColumn("v_end", F.col("v_start") + F.length("_read"))
+        .withColumn("pseudonym", F.col("_read")).select(*tokens.columns, "_value")
     )
-    return exact.unionByName(readings)
+    return exact.unionByName(read)
 
 
 def restore_join(
@@ -102,13 +119,13 @@ def restore_join(
     """Restore with a mapping of any size: tokenise, join, rebuild.
 
     Tokens are replaced once and all together, so a value that looks like another
-    pseudonym is left as it is.
+    pseudonym is left as it is. Texts without tokens are not shuffled.
     """
-    tokens = find_tokens(df, column, key, detectors)
-    if scope not in ("corpus", "document"):
-        tokens = tokens.join(df.select(*key, scope), list(key))
-    found = join_tokens(tokens, mapping, scope_of(scope, key))
-    return apply_edits(df, edits_by_key(found, key, "_value"), key, column)
+    scanned = scan_tokens(df, column, detectors)
+    found = join_tokens(tokens_of(scanned, key, scope_of(scope, key)), mapping)
+    changed = apply_edits(scanned.where("_dirty").select(*df.columns),
+                          edits_by_key(found, key, "_value"), key, column)
+    return changed.unionByName(scanned.where("NOT _dirty").select(*df.columns))
 
 
 def scope_of(scope: str, key: Sequence[str]) -> Column:
@@ -122,11 +139,9 @@ def restored_count(
     key: Sequence[str] = ("doc_id",), scope: str = "corpus",
 ) -> DataFrame:
     """How many different pseudonyms of the mapping occur in each text."""
-    tokens = find_tokens(df, column, key, detectors)
-    if scope not in ("corpus", "document"):
-        tokens = tokens.join(df.select(*key, scope), list(key))
+    scanned = scan_tokens(df, column, detectors)
     counts = (
-        join_tokens(tokens, mapping, scope_of(scope, key))
+        join_tokens(tokens_of(scanned, key, scope_of(scope, key)), mapping)
         .select(*key, "pseudonym").distinct()
         .groupBy(*key).agg(F.count(F.lit(1)).alias("restored"))
     )
@@ -179,22 +194,22 @@ def restore_nested(
 ) -> DataFrame:
     """Restore every string inside structs, arrays and map values.
 
-    A small mapping is a constant. A large one needs ``key`` and ``detectors``: each row is
-    first joined to the entries its own strings mention.
+    With ``key`` and ``detectors`` the mapping can have any size: each row is first joined
+    to the entries its own strings mention. Without, it is a constant and must be small.
     """
     columns = [f for f in df.schema
                if f.name not in (*key, *skip) and holds_strings(f.dataType)]
-    entries = small_mapping(mapping)
-    if entries is not None:
+    if not key or detectors is None:
+        entries = small_mapping(mapping)
+        if entries is None:
+            raise ValueError("a large mapping needs key and detectors")
         return df.withColumns({
             f.name: map_strings(F.col(f.name), f.dataType,
                                 lambda c: replace_entries(c, entries)) for f in columns})
-    if not key or detectors is None:
-        raise ValueError("a large mapping needs key and detectors")
     lines = F.concat_ws("\n", *[_strings(F.col(f.name), f.dataType) for f in columns])
-    tokens = find_tokens(df.select(*key, lines.alias("_lines")), "_lines", key, detectors)
+    scanned = scan_tokens(df.withColumn("_lines", lines), "_lines", detectors)
     own = (
-        join_tokens(tokens, mapping, F.lit(""))
+        join_tokens(tokens_of(scanned, key, F.lit("")), mapping)
         .groupBy(*key).agg(F.collect_set(F.struct(
             F.col("pseudonym").alias("p"), F.col("_value").alias("o"))).alias("_entries"))
         .withColumn("_entries", longest_first(F.col("_entries")))

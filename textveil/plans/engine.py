@@ -158,7 +158,7 @@ class Veil:
         """
         columns, key = _listed(columns), _listed(key)
         order = df.columns
-        scanned = stage(self.scan(df, columns, key), "scanned")
+        scanned = stage_scanned(self.scan(df, columns, key), columns)
         if scope == "document" and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
         return self.redact_scanned(scanned, columns, key, order, scope, mapping)
@@ -167,10 +167,11 @@ class Veil:
         self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
         order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
     ) -> Redaction:
-        """Number, render and rewrite a table that :meth:`scan` made and that was written."""
+        """Number, render and rewrite a table from :func:`stage_scanned`."""
         keep = [] if scope in ("corpus", "document") else [scope]
         keep = [c for c in keep if c not in key]
-        findings = with_scope(self.findings(scanned, columns, key, keep), scope, key)
+        dirty = scanned.where("_dirty")
+        findings = with_scope(self.findings(dirty, columns, key, keep), scope, key)
         values = stage(distinct_values(findings, [*key, "col"]), "values")
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
@@ -186,10 +187,9 @@ class Veil:
             table.select("scope", "value", "pseudonym"),
             ["scope", "value"], hot, [*key, "v_start"],
         )
-        dirty = _any_spans(columns)
-        changed = apply_edits(scanned.where(dirty).select(*order),
-                              edits_by_key(named, key, "pseudonym"), key, columns)
-        documents = changed.unionByName(scanned.where(f"NOT ({dirty})").select(*order))
+        changed = apply_edits(dirty.select(*order), edits_by_key(named, key, "pseudonym"),
+                              key, columns)
+        documents = changed.unionByName(scanned.where("NOT _dirty").select(*order))
         return Redaction(documents, table, findings)
 
     def _redact_rows(self, scanned: DataFrame, column: str, key: list[str],
@@ -197,8 +197,9 @@ class Veil:
         rows = redact_in_row(scanned, column, "_spans_0", self.detectors, "_left_0")
         return Redaction(
             rows.select(*order),
-            explode_mapping(rows, document_scope(key), self.detectors),
-            with_scope(self.findings(scanned, column, key), "document", key),
+            stage(explode_mapping(rows.where("_dirty"), document_scope(key), self.detectors),
+                  "mapping"),
+            with_scope(self.findings(scanned.where("_dirty"), column, key), "document", key),
         )
 
     def redact_rows(self, df: DataFrame, column: str = "text") -> DataFrame:
@@ -232,5 +233,7 @@ def _listed(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def _any_spans(columns: Sequence[str]) -> str:
-    return " OR ".join(f"size(_spans_{i}) > 0" for i in range(len(columns)))
+def stage_scanned(scanned: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Write a scanned table, rows with findings (``_dirty``) apart from clean ones."""
+    dirty = " OR ".join(f"size(_spans_{i}) > 0" for i in range(len(columns)))
+    return stage(scanned.withColumn("_dirty", F.expr(dirty)), "scanned", split="_dirty")

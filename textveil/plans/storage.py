@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, or the folder set on its context.
 
@@ -25,12 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, split: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
+    With ``split``, a boolean column, its two values are kept in separate files, so that a
+    consumer of one side reads nothing of the other.
+
     Cuts the lineage (a lost executor re-reads a file instead of re-running detection),
     lets several consumers share the work, and gives later joins real sizes.
     """
     path = f"{shared_folder(df.sparkSession)}/textveil/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if split:
+        # two open writers per task instead of a sort of whole rows by the flag
+        spark = df.sparkSession
+        before = spark.conf.get(_WRITERS)
+        spark.conf.set(_WRITERS, "2")
+        try:
+            df.write.partitionBy(split).parquet(path)
+        finally:
+            spark.conf.set(_WRITERS, before)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,13 +52,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
 
 
 def read_mapping(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """A mapping table. ``json``: files holding one object ``{pseudonym: original}`` each,
-    with the file as scope if there are several; broken JSON is an error."""
-    if format != "json":
+    """A mapping table. ``json``: files of one object ``{pseudonym: original}`` each;
+    ``jsonl``: one object per line. Broken JSON is an error."""
+    if format not in ("json", "jsonl"):
         return spark.read.format(format).load(path).select(*COLUMNS)
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value")
-    return mapping_from_json(files, "value")
+    return mapping_from_json(spark.read.text(path, wholetext=format == "json"), "value")
 
 
 def mapping_from_json(df: DataFrame, column: str, scope: str | None = None) -> DataFrame:

@@ -33,9 +33,10 @@ def mapping_objects(mapping: DataFrame) -> DataFrame:
 
 def write_mapping(mapping: DataFrame, path: str, format: str = "parquet",
                   mode: str = "error") -> None:
-    """Parquet is the working format. ``json`` writes one object per line and scope; a
-    corpus-wide mapping of any size should stay a table, as an object is a single row."""
-    if format == "json":
-        mapping_objects(mapping).select("mapping").write.mode(mode).text(path)
+    """Parquet is the working format. ``jsonl`` writes one small object
+    ``{pseudonym: original}`` per line, so a mapping of any size stays spread over files."""
+    if format == "jsonl":
+        entry = F.to_json(F.create_map("pseudonym", "value")).alias("value")
+        mapping.where("reversible").select(entry).write.mode(mode).text(path)
     else:
         mapping.write.mode(mode).format(format).save(path)
