@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from textveil.functions.detectors import Detector
 from textveil.functions.sql import let, text
-from textveil.functions.templates import render_sql
+from textveil.functions.templates import render_sql, shorter
 from textveil.operators.mapping import COLUMNS
 
 
 def rebuild_text(column: str, edits: str) -> Column:
     """Text with ``edits``, an ordered ``array<struct<v_start, v_end, new>>``, applied."""
     before = f"CASE WHEN i = 0 THEN 0 ELSE {edits}[i - 1].v_end END"
+    joined = (
+        f"array_join(concat(transform({edits}, (x, i) -> concat(substring(_original,"
+        f" {before} + 1, x.v_start - {before}), x.new)),"
+        f" array(substring(_original, {edits}[size({edits}) - 1].v_end + 1))), '')"
+    )
     return F.expr(
-        f"CASE WHEN coalesce(size({edits}), 0) = 0 THEN `{column}` ELSE array_join(concat("
-        f"transform({edits}, (x, i) -> concat(substring(`{column}`, {before} + 1,"
-        f" x.v_start - {before}), x.new)),"
-        f" array(substring(`{column}`, {edits}[size({edits}) - 1].v_end + 1))), '')"
-        " END"
+        f"CASE WHEN coalesce(size({edits}), 0) = 0 THEN `{column}`"
+        f" ELSE {let('_original', f'`{column}`', joined)} END"
     )
 
 
@@ -105,8 +107,9 @@ def mapping_in_row(
     df = df.selectExpr(*keep, "_numbered", f"{entries('x.n')} AS _mapping")
     spelled = ("coalesce(array_max(filter(transform(" + leftover + ", t -> try_cast("
                "regexp_extract(t, '([0-9]{1,12})[^0-9]*$', 1) AS BIGINT)), b -> b IS NOT NULL)), 0)")
+    readings = f"flatten(transform({leftover}, t -> concat(array(t), {shorter('t')})))"
     df = df.selectExpr("*", (
-        f"CASE WHEN {leftover} IS NOT NULL AND arrays_overlap({leftover},"
+        f"CASE WHEN {leftover} IS NOT NULL AND arrays_overlap({readings},"
         f" transform(_mapping, m -> m.new)) THEN {spelled} ELSE 0 END AS _base"
     ))
     return df.selectExpr(*keep, (

@@ -164,8 +164,9 @@ class Scanner:
         return let("r", self._bracket_any(shadow, ranks), self._rewrite("r"))
 
     @staticmethod
-    def decode(shadow: str, original: str) -> str:
-        """Shadow -> ordered array of spans; values are cut from the original text."""
+    def decode(shadow: str) -> str:
+        """Shadow -> ordered array of spans; values are cut from ``_original``, a name the
+        caller binds, so that no lambda variable can hide a column of the same name."""
         bracket = (
             f"regexp_replace({shadow}, '({FILL_PREFIX}*)({RANKS}{FILL_VALUE}*)({FILL_TAIL}*)',"
             f" '{OPEN}$1{SEP}$2{SEP}$3{CLOSE}')"
@@ -183,7 +184,7 @@ class Scanner:
         span = (
             "named_struct('rank', x.rank, 'start', s.pos, 'end', s.pos + x.a + x.b + x.c,"
             " 'v_start', s.pos + x.a, 'v_end', s.pos + x.a + x.b,"
-            f" 'value', substring({original}, s.pos + x.a + 1, x.b))"
+            " 'value', substring(_original, s.pos + x.a + 1, x.b))"
         )
         fold = (
             f"aggregate({pieces}, named_struct('pos', 0, 'out', CAST(array() AS array<{SPAN}>)),"
@@ -288,7 +289,8 @@ class Scanner:
             extra.append(f"CASE WHEN _shadow rlike {text(leftover)} THEN array_distinct("
                          f"regexp_extract_all(_shadow, {text(leftover)}, 0)) END AS {leftover_into}")
         return shadowed.selectExpr(
-            *_quoted(keep), f"{self.decode('_shadow', f'`{column}`')} AS {into}", *extra)
+            *_quoted(keep),
+            f"{let('_original', f'`{column}`', self.decode('_shadow'))} AS {into}", *extra)
 
     def raw_spans(self, df: DataFrame, column: str, into: str = "spans") -> DataFrame:
         """``df`` plus every match of every detector on its own, overlaps included."""
@@ -298,10 +300,9 @@ class Scanner:
         keep = [c for c in df.columns if c not in ("_work", "_active")]
         run = range(len(self.detectors))
         shadows = f"transform(_active, k -> {self._step('_work', run)})"
+        found = f"flatten(transform({shadows}, t -> {self.decode('t')}))"
         return df.selectExpr(
-            *_quoted(keep),
-            f"flatten(transform({shadows}, t -> {self.decode('t', f'`{column}`')})) AS {into}",
-        )
+            *_quoted(keep), f"{let('_original', f'`{column}`', found)} AS {into}")
 
     def _runs(self) -> list[list[int] | int]:
         """Consecutive ranks that run in one fold; a Python predicate stands alone."""
@@ -380,11 +381,12 @@ def explode_spans(
     # would run twice; the outer form adds none, and empty rows are dropped after it.
     extra = []
     if match_in:
-        cut = f"substring(`{match_in}`, x.start + 1, x.end - x.start)"
-        df = df.select(*key, F.expr(
+        with_match = (
             f"transform({spans}, x -> named_struct('rank', x.rank, 'start', x.start, 'end', x.end,"
-            f" 'v_start', x.v_start, 'v_end', x.v_end, 'value', x.value, 'match', {cut}))"
-        ).alias(spans))
+            " 'v_start', x.v_start, 'v_end', x.v_end, 'value', x.value,"
+            " 'match', substring(_original, x.start + 1, x.end - x.start)))"
+        )
+        df = df.select(*key, F.expr(let("_original", f"`{match_in}`", with_match)).alias(spans))
         extra = [F.col("s.match").alias("match")]
     return (
         df.select(*key, F.explode_outer(spans).alias("s"))
