@@ -223,10 +223,16 @@ class Scanner:
                 f"(_g_{GATES[g][0]} AND _work rlike {text(java(GATES[g][1]))}) AS _g_{g}"
                 for g in then
             ])
+        # a language is only looked for where one of its keywords stands
+        spoken = sorted({x for d in self.detectors for x in d.languages})
+        if spoken:
+            df = df.selectExpr("*", *[
+                f"({self._keyword_seen(x, hits)} AND {language_test(x, '_work')}) AS _l_{x}"
+                for x in spoken
+            ])
         conditions = {
             k: all_of(([f"_g_{d.gate}"] if d.gate else [])
-                      + [any_of(language_test(x, "_work") for x in d.languages)]
-                      * bool(d.languages))
+                      + [any_of(f"_l_{x}" for x in d.languages)] * bool(d.languages))
             for k, d in enumerate(self.detectors) if d.gate or d.languages
         }
         always = ", ".join(map(str, self._ranks(lambda d: not d.literals)))
@@ -240,6 +246,13 @@ class Scanner:
             f"filter({ranks}, k -> {self._by_rank(conditions, 'true')}) AS _active",
         )
 
+    def _keyword_seen(self, language: str, hits: dict[str, list[int]]) -> str:
+        ranks = set(self._ranks(lambda d: language in d.languages))
+        if any(not self.detectors[k].literals for k in ranks):
+            return "true"
+        return "arrays_overlap(_hits, array({}))".format(
+            ", ".join(text(x) for x, owners in hits.items() if ranks & set(owners)))
+
     def _literal_ranks(self) -> dict[str, list[int]]:
         """For each literal, the detectors it may start: its own and those of its prefixes.
 

@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table with fewer input splits than cores over all cores.
+
+    A small file is often one row group, which a single task reads, and detection is bound
+    by CPU. A table with enough splits is returned as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, name: str, split: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -22,7 +22,7 @@ from textveil.operators.env import redact_env
 from textveil.operators.restore import restore_exact, restore_join, restore_nested, restored_count
 from textveil.operators.scan import Scanner, explode_spans, resolve_overlaps
 from textveil.operators.skew import join_hot
-from textveil.plans.storage import shared_folder, stage
+from textveil.plans.storage import shared_folder, spread_small, stage
 from textveil.sources.readers import (
     mapping_from_json, read_allowlist, read_corpus, read_records, split_lines,
 )
@@ -40,7 +40,7 @@ MAP = ["scope", "value", "pseudonym", "category", "pattern", "confidence", "n"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def sql_over(spark: SparkSession, sf: str, name: str, query: str) -> DataFrame:
