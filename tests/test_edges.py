@@ -6,7 +6,7 @@ import pytest
 from conftest import docs_of, redact_each
 
 from textveil import Veil, by_name, detect_languages, keywords_for, redact_env, secret_keywords
-from textveil.operators.env import join_lines
+from textveil.operators.env import join_lines, restore_env
 from textveil.operators.restore import restore_exact
 from textveil.sources.readers import (
     read_allowlist, read_corpus, read_env_lines, read_mapping, read_records,
@@ -28,9 +28,7 @@ def test_env_files_round_trip(spark, tmp_path):
         'DB_HOST=10.0.1.8\nDB_PASSWORD="REDACTED_ENV_1"\n# SECRET=comment\nAPP_NAME=myapp\n'
         "  AUTH_TOKEN = REDACTED_ENV_2  \nMY_CREDENTIAL=REDACTED_ENV_1\nPRIVATE_KEY=\n\nplain")
     assert texts["b.env"] == "API_KEY='REDACTED_SECRET_1'\nX=1\n"
-    engine = Veil()
-    engine.register("env_secret", "$^", "REDACTED_ENV_{n}", category="env")
-    back = engine.restore(done.documents, done.mapping, "line", ["path", "line_no"], "path")
+    back = restore_env(done.documents, done.mapping)
     assert {r.path[-5:]: r.text for r in join_lines(back).collect()}["a.env"] == ENV
 
 

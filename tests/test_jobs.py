@@ -35,7 +35,7 @@ TEXTS = [
     "icons \ue000\uf8f0 and a@icons.com \ue123",
     "", "clean",
     "password = 'one-more' next REDACTED_SECRET_3 REDACTED_SECRET_12",
-    "\x00PRIV_0\x00 and null@bytes.com",
+    "\x00X_0\x00 and null@bytes.com",
 ]
 
 

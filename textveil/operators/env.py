@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textveil.functions import words as w
 from textveil.functions.detectors import Detector
 from textveil.functions.sql import text
+from textveil.operators.restore import restore_join
 from textveil.operators.scan import SPAN
 from textveil.plans.engine import Redaction, Veil, stage_scanned
 
@@ -75,10 +76,24 @@ def redact_env(
     return Redaction(documents, done.mapping, done.findings)
 
 
-def join_lines(lines: DataFrame) -> DataFrame:
-    """Lines -> one text per path, in order, with line feeds between them."""
+def restore_env(
+    lines: DataFrame, mapping: DataFrame, engine: Veil | None = None,
+    key: Sequence[str] = ("path", "line_no"), scope: str = "path",
+) -> DataFrame:
+    """Original lines of :func:`redact_env`."""
+    detectors = [*(engine or Veil()).detectors, ENV_SECRET]
+    return restore_join(lines, "line", mapping, detectors, key, scope)
+
+
+def join_lines(lines: DataFrame, *key: str) -> DataFrame:
+    """Lines -> one text per key (default: path), in order, with line feeds between them.
+
+    With :func:`textveil.sources.readers.split_lines` before it, very long texts can be
+    redacted line by line; only an armoured key block spans lines.
+    """
+    key = key or ("path",)
     return (
-        lines.groupBy("path")
+        lines.groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-        .select("path", F.array_join(F.col("l.line"), "\n").alias("text"))
+        .select(*key, F.array_join(F.col("l.line"), "\n").alias("text"))
     )

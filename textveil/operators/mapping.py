@@ -158,9 +158,13 @@ def mark_reversible(mapping: DataFrame, leftover: DataFrame | None = None) -> Da
 
 def build_mapping(
     values: DataFrame, detectors: Sequence[Detector], scope: str = "corpus",
-    mapping: DataFrame | None = None, leftover: DataFrame | None = None,
+    mapping: DataFrame | None = None, leftover: DataFrame | None = None, whole: bool = True,
 ) -> DataFrame:
-    """Distinct values -> mapping table; an earlier mapping is kept and continued."""
+    """Distinct values -> mapping table; an earlier mapping is kept and continued.
+
+    Without ``whole`` the result holds only the rows of the given values, so that a small
+    batch does not rewrite a large mapping.
+    """
     fresh = new_values(values, mapping) if mapping is not None else values
     rendered = render(number_values(fresh, mapping, scope), detectors)
     if leftover is not None and not leftover.isEmpty():
@@ -169,7 +173,10 @@ def build_mapping(
         leftover = None
     rows = rendered.withColumn("reversible", F.lit(True)).select(*COLUMNS)
     if mapping is not None:
-        rows = rows.unionByName(mapping.select(*COLUMNS))
+        kept = mapping.select(*COLUMNS)
+        if not whole:
+            kept = kept.join(values.select("scope", "value"), ["scope", "value"], "left_semi")
+        rows = rows.unionByName(kept)
     return mark_reversible(rows, leftover)
 
 

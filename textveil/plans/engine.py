@@ -129,11 +129,16 @@ class Veil:
             )
 
     def findings(self, scanned: DataFrame, columns: str | Sequence[str] = "text",
-                 key: Sequence[str] = ("doc_id",), keep: Sequence[str] = ()) -> DataFrame:
-        """Findings of a scanned table, one row each; ``col`` is the text column's position."""
+                 key: Sequence[str] = ("doc_id",), keep: Sequence[str] = (),
+                 match: bool = True) -> DataFrame:
+        """Findings of a scanned table, one row each; ``col`` is the text column's position.
+
+        Without ``match``, the whole matched text, the text columns need not be read.
+        """
         parts = []
         for i, c in enumerate(_listed(columns)):
-            part = explode_spans(scanned, self.detectors, [*key, *keep], f"_spans_{i}", c)
+            part = explode_spans(scanned, self.detectors, [*key, *keep], f"_spans_{i}",
+                                 c if match else None)
             parts.append(part.withColumn("col", F.lit(i)))
         return reduce(DataFrame.unionByName, parts)
 
@@ -146,12 +151,14 @@ class Veil:
         key: str | Sequence[str] = "doc_id",
         scope: str = "corpus",
         mapping: DataFrame | None = None,
+        whole: bool = True,
     ) -> Redaction:
         """Replace every finding by its pseudonym.
 
         ``scope`` says who shares a numbering: ``corpus``, ``document``, or a column (for
         instance a file path). ``key`` identifies a row and gives the corpus its order. An
-        earlier ``mapping`` is kept and continued.
+        earlier ``mapping`` is kept and continued; without ``whole`` the result's mapping has
+        only the rows this table needs.
 
         Detection runs once and is written to the shared folder; after that only documents
         with findings are shuffled, and clean ones pass through.
@@ -161,29 +168,32 @@ class Veil:
         scanned = stage_scanned(self.scan(df, columns, key), columns)
         if scope == "document" and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
-        return self.redact_scanned(scanned, columns, key, order, scope, mapping)
+        return self.redact_scanned(scanned, columns, key, order, scope, mapping, whole)
 
     def redact_scanned(
         self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
         order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
+        whole: bool = True,
     ) -> Redaction:
         """Number, render and rewrite a table from :func:`stage_scanned`."""
         keep = [] if scope in ("corpus", "document") else [scope]
         keep = [c for c in keep if c not in key]
         dirty = scanned.where("_dirty")
         findings = with_scope(self.findings(dirty, columns, key, keep), scope, key)
-        values = stage(distinct_values(findings, [*key, "col"]), "values")
+        spans = with_scope(self.findings(dirty, columns, key, keep, match=False), scope, key)
+        values = stage(distinct_values(spans, [*key, "col"]), "values")
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
         ])
         # a token also stands for its shorter readings, see restore.join_tokens
         leftover = leftover.select(
             F.expr(f"explode(concat(array(token), {shorter('token')})) AS token")).distinct()
-        table = stage(build_mapping(values, self.detectors, scope, mapping, leftover), "mapping")
+        table = stage(
+            build_mapping(values, self.detectors, scope, mapping, leftover, whole), "mapping")
         total = values.agg(F.sum("uses")).first()[0] or 0
         hot = hot_keys(values, ["scope", "value"], total)
         named = join_hot(
-            findings.select(*key, "scope", "value", "col", "v_start", "v_end"),
+            spans.select(*key, "scope", "value", "col", "v_start", "v_end"),
             table.select("scope", "value", "pseudonym"),
             ["scope", "value"], hot, [*key, "v_start"],
         )

@@ -43,7 +43,7 @@ def redact_batch(
     """
     spark = batch.sparkSession
     known = read_stream_mapping(spark, mapping_path, batch_id).select(*COLUMNS)
-    done = engine.redact(batch, columns, key, mapping=known)
+    done = engine.redact(batch, columns, key, mapping=known, whole=False)
     fresh = done.mapping.join(known.select("scope", "value"), ["scope", "value"], "left_anti")
     fresh.write.mode("overwrite").parquet(f"{mapping_path}/batch_id={batch_id}")
     done.documents.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
