@@ -118,7 +118,7 @@ def find_domains(spark, sf):
 
 
 def scan_everything(spark, sf):
-    """All 103 detectors over whole texts."""
+    """All 101 detectors over whole texts."""
     engine = Veil()
     docs = documents(spark, sf)
     return engine.findings(engine.scan(docs)).select("doc_id", "pattern", "start", "value")
