@@ -16,9 +16,9 @@ i AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark),
 places AS (SELECT item_id, w, unnest(range(0, greatest(1, len(w) - 9))) AS a FROM i WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[a + 1:a + 10], ' ') AS g FROM places),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS a FROM d, sizes),
+grams AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS a FROM d, sizes),
 hit AS (SELECT doc_id, a, n, item_id
-  FROM (SELECT doc_id, a, n, array_to_string(w[a + 1:a + n], ' ') AS g FROM at) JOIN win USING (g, n)),
+  FROM (SELECT doc_id, a, n, array_to_string(w[a + 1:a + n], ' ') AS g FROM grams) JOIN win USING (g, n)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(a, a + n)) AS p FROM hit) GROUP BY doc_id),
 held AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
