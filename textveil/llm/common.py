@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,23 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def pieces(columns: Iterable[pa.Array], size: int = 4 * 1024 ** 2) -> Iterator[pa.Array]:
+    """The rows of Arrow columns in order, about ``size`` bytes at a time (one row at least).
+
+    Spark's batches are bounded by rows; this bounds what a worker unpacks at once.
+    """
+    for column in columns:
+        per_row = max(1, column.nbytes // max(1, len(column)))
+        step = max(1, size // per_row)
+        at = 0
+        while at < len(column):
+            n = step
+            while n > 1 and column.slice(at, n).nbytes > 2 * size:
+                n //= 2
+            yield column.slice(at, n)
+            at += n
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

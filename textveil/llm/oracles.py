@@ -30,5 +30,35 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
 """
 
 
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
+  min(reach.b) AS component_id, v.vec_id = min(reach.b) AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+"""
+
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[a + 1:a + 5], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS a FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+link AS (SELECT a, b FROM both_have JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 10 * c >= 8 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, (SELECT count(*) FROM link WHERE link.a = d.doc_id) AS n_links,
+  min(reach.b) AS class_id, d.doc_id = min(reach.b) AS kept
+FROM d JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5}
+    return {"op2_vector_dedup": OP2, "op4_jaccard_join": OP4, "op5_decontaminate": OP5}

@@ -12,7 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm import bpe, decontaminate, language_id, token_counts
+from textveil.llm import (
+    bpe, decontaminate, jaccard_join, language_id, token_counts, vector_dedup,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +36,16 @@ def op1_token_counts(spark, sf):
         F.col("budget_bytes")[512].alias("bytes_within_limit"))
 
 
+def op2_vector_dedup(spark, sf):
+    return vector_dedup.near_duplicates(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def op4_jaccard_join(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = jaccard_join.similar_documents(docs)
+    return found.select("row.doc_id", "n_links", "class_id", "kept")
+
+
 def op5_decontaminate(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.contaminated(docs, table(spark, sf, "benchmark"))
@@ -67,6 +79,8 @@ def op10_bpe(spark, sf):
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_vector_dedup": op2_vector_dedup,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
         "op10_bpe": op10_bpe,
