@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import (
-    bpe, decontaminate, jaccard_join, language_id, token_counts, vector_dedup,
+    bpe, common, decontaminate, hmm, jaccard_join, language_id, sharding, token_counts, vector_dedup,
 )
+from textveil.plans.storage import stage
+
+SHARDS = 16
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,28 @@ def op6_language_id(spark, sf):
         "lang_pred", "score")
 
 
+def op8_sharding(spark, sf):
+    """Equal texts are linked (all to one of them); the counts of shards are equal."""
+    docs = table(spark, sf, "documents")
+    rows = stage(docs.select(
+        F.monotonically_increasing_id().alias("node"), "doc_id", common.text_hash(F.col("text")).alias("group"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")), "shard-rows")
+    hub = rows.groupBy("group").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = rows.join(hub, "group").select(F.col("node").alias("a"), "b")
+    placed = sharding.balanced_shards(rows.select("node"), links, SHARDS)
+    return rows.join(placed, "node").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_hmm(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = hmm.score_texts(docs, fold(7) != 2)
+    return scored.select(
+        "doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_bpe(spark, sf):
     docs = table(spark, sf, "documents")
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -83,5 +108,7 @@ def queries() -> dict[str, Query]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
+        "op8_sharding": op8_sharding,
+        "op9_hmm": op9_hmm,
         "op10_bpe": op10_bpe,
     }
