@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import (
-    bpe, common, decontaminate, hmm, jaccard_join, language_id, sharding, token_counts, vector_dedup,
+    bpe, common, decontaminate, hmm, jaccard_join, language_id, sharding, substring_dedup,
+    token_counts, vector_dedup,
 )
 from textveil.plans.storage import stage
 
@@ -43,6 +44,14 @@ def op2_vector_dedup(spark, sf):
     return vector_dedup.near_duplicates(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+def op3_substring_dedup(spark, sf):
+    found = substring_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["bytes"])
+    return found.select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_jaccard_join(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = jaccard_join.similar_documents(docs)
@@ -105,6 +114,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_vector_dedup": op2_vector_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
