@@ -20,9 +20,9 @@ import sentencepiece
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.common import byte_characters, load_ranks, strings
+from textveil.llm.common import byte_characters, load_ranks, pieces, strings
 
-WORDS_KEPT = 400_000  # pre-tokens whose ids a worker remembers; only memory depends on it
+WORDS_KEPT = 150_000  # pre-tokens whose ids a worker remembers; only memory depends on it
 
 
 def _number(value: int) -> bytes:
@@ -132,7 +132,7 @@ class Codec:
         load = self._worker()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in columns:
+            for column in pieces(columns):
                 rows = [np.array(load().encode(t), np.int32) for t in strings(column)]
                 ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                 yield pa.ListArray.from_arrays(ends, np.concatenate([*rows, np.empty(0, np.int32)]))
@@ -143,7 +143,9 @@ class Codec:
         load = self._worker()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in columns:
-                yield pa.array([load().decode(x or ()) for x in column.to_pylist()], pa.binary())
+            for column in pieces(columns):
+                flat, ends = column.flatten().to_numpy(), np.cumsum([len(x) if x.is_valid else 0 for x in column])
+                yield pa.array([load().decode(x.tolist()) for x in np.split(flat, ends[:-1])] if len(ends) else [],
+                               pa.binary())
 
         return F.arrow_udf(run, "binary")(ids)

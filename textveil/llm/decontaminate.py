@@ -22,10 +22,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import concat_ranges, strings, words_of
+from textveil.llm.common import concat_ranges, pieces, strings, words_of
 
 WINDOW = 10
 SAMPLE = 8                    # one suffix position in so many is stored
+SHARD_BYTES = 16 * 1024 ** 2  # training text that one index covers
 BLOCK_BYTES = 32 * 1024 ** 2  # benchmark text that is broadcast and searched at once
 
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -261,7 +262,7 @@ class Decontaminator:
         search = self._search()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in columns:
+            for column in pieces(columns, SHARD_BYTES):
                 counts, spans, items = search(strings(column))
                 yield pa.StructArray.from_arrays([
                     pa.array(counts),
@@ -277,7 +278,7 @@ class Decontaminator:
         search = self._search()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in columns:
+            for column in pieces(columns, SHARD_BYTES):
                 texts = column.to_pylist()
                 left = [i for i, t in enumerate(texts) if t]
                 while left:

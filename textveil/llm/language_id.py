@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import concat_ranges, strings
+from textveil.llm.common import concat_ranges, pieces, strings
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -152,7 +152,7 @@ def language_of(sample: dict[str, bytes], text: Column | str) -> Column:
             _BUILT.clear()
             _BUILT[content] = [Parser(data) for _, data in content]
         parsers = _BUILT[content]
-        for column in columns:
+        for column in pieces(columns):
             texts = [letters(t) for t in strings(column)]
             size = np.array([len(t) for t in texts], np.int64)
             data = np.frombuffer(b"".join(texts), np.uint8)

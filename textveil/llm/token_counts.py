@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textveil.llm.common import byte_characters, strings
+from textveil.llm.common import byte_characters, pieces, strings
 
 # Fixed value: how byte-level vocabularies of this kind cut texts before merging.
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORDS_KEPT = 400_000  # pre-tokens whose counts a worker remembers; only memory depends on it
+WORDS_KEPT = 800_000  # pre-tokens whose counts a worker remembers; only memory depends on it
 
 
 class PrefixCounter:
@@ -168,7 +168,7 @@ def token_counts(
 
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(source.value)
-        for column in columns:
+        for column in pieces(columns):
             rows = []
             for value in strings(column):
                 counts = counter.counts(value)
