@@ -60,5 +60,23 @@ FROM d JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
 """
 
 
+OP7 = r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(t))) AS line_no, unnest(t) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+d AS (SELECT line, length(line) AS n, count(*) AS copies, min({'d': doc_id, 'l': line_no}) AS f
+  FROM l WHERE length(line) >= 20 GROUP BY line),
+link AS (SELECT a.line AS a, b.line AS b, b.copies AS c FROM d a JOIN d b
+  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+reach(a, b) AS (SELECT line, line FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+class AS (SELECT reach.a AS line, min(d.f) AS f FROM reach JOIN d ON d.line = reach.b GROUP BY reach.a),
+direct AS (SELECT a AS line, sum(c) AS c FROM link GROUP BY a)
+SELECT l.doc_id, l.line_no, CAST(coalesce(d.copies - 1 + coalesce(direct.c, 0), 0) AS BIGINT) AS n_links,
+  coalesce(class.f.d, l.doc_id) AS class_doc_id, coalesce(class.f.l, l.line_no) AS class_line_no,
+  class.f IS NULL OR (class.f.d = l.doc_id AND class.f.l = l.line_no) AS kept
+FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN class ON class.line = l.line LEFT JOIN direct ON direct.line = l.line
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vector_dedup": OP2, "op4_jaccard_join": OP4, "op5_decontaminate": OP5}
+    return {"op2_vector_dedup": OP2, "op4_jaccard_join": OP4, "op5_decontaminate": OP5,
+            "op7_line_dedup": OP7}

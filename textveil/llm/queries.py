@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import (
-    bpe, common, decontaminate, hmm, jaccard_join, language_id, sharding, substring_dedup,
+    bpe, common, decontaminate, hmm, jaccard_join, language_id, line_dedup, sharding, substring_dedup,
     token_counts, vector_dedup,
 )
 from textveil.plans.storage import stage
@@ -77,6 +77,13 @@ def op6_language_id(spark, sf):
         "lang_pred", "score")
 
 
+def op7_line_dedup(spark, sf):
+    found = line_dedup.duplicate_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "line_no", "n_links", F.col("class_key").alias("class_doc_id"),
+        F.col("class_line").alias("class_line_no"), "kept")
+
+
 def op8_sharding(spark, sf):
     """Equal texts are linked (all to one of them); the counts of shards are equal."""
     docs = table(spark, sf, "documents")
@@ -118,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_language_id": op6_language_id,
+        "op7_line_dedup": op7_line_dedup,
         "op8_sharding": op8_sharding,
         "op9_hmm": op9_hmm,
         "op10_bpe": op10_bpe,
