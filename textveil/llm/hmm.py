@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -48,6 +48,16 @@ def word_class(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w) % (CLASSES - 1) + 1 for w in words], np.int32)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 24: their low halves, then the bytes above."""
+    return (numbers & 0xFFFF).astype(np.uint16).tobytes() + (numbers >> 16).astype(np.uint8).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data, np.uint16, n).astype(np.int32) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int32) << 16
+
+
 def _tokenised(id_type: pa.DataType):
     """Texts of a batch as numbers of the batch's own words, and those words with counts."""
 
@@ -62,13 +72,19 @@ def _tokenised(id_type: pa.DataType):
                 take = number.setdefault
                 rows = [np.array([take(w, len(number)) for w in tokens(t)], np.int32) for t in part.to_pylist()]
                 train = batch.column("train").slice(at, n)
+                none = np.empty(0, np.int32)
                 flat = [r for r, t in zip(rows, train.to_pylist(), strict=True) if t]
-                counts = np.bincount(np.concatenate([*flat, np.empty(0, np.int32)]), minlength=len(number))
+                # frequent words get small numbers, which take less room when shuffled
+                by = np.argsort(-np.bincount(np.concatenate([*rows, none]), minlength=len(number)), kind="stable")
+                place = np.empty_like(by)
+                place[by] = np.arange(len(by))
+                counts = np.bincount(np.concatenate([*flat, none]), minlength=len(number))[by]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.zeros(n, bool)), pa.array(np.full(n, block)),
-                    batch.column("id").slice(at, n), train, pa.array([r.tobytes() for r in rows], pa.binary()),
+                    batch.column("id").slice(at, n), train, pa.array([packed(place[r]) for r in rows], pa.binary()),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names)
-                words = list(number)
+                first_seen = list(number)
+                words = [first_seen[i] for i in by.tolist()]
                 for low in range(0, len(words), 50_000):
                     some = words[low:low + 50_000]
                     m = len(some)
@@ -95,7 +111,7 @@ def _looked_up(id_type: pa.DataType, log_mass: np.ndarray, ends: int):
         log_c, mass, known = np.log10(count + 1.0), log_mass[cls], count > 0
         out = []
         for ids in texts.column("ids").to_pylist():
-            x = np.frombuffer(ids or b"", np.int32)
+            x = unpacked(ids)
             out.append((len(x) + 1, int(known[x].sum()) + (ends > 0), float(log_c[x].sum()) + end,
                         float(mass[x].sum()) + end, cls[x].astype(np.uint16).tobytes() + b"\0\0"))
         columns = list(zip(*out, strict=True)) or [()] * 5
@@ -252,9 +268,14 @@ def score_texts(
         rows.mapInArrow(_tokenised(id_type), f"word_row boolean, block bigint, id {id_sql}, train boolean,"
                         " ids binary, number int, word binary, n bigint, class int"), "tokens", split="word_row")
     words = both.where("word_row").select("block", "number", "word", "n", "class")
-    counts = stage(words.groupBy("word", "class").agg(F.sum("n").alias("c")), "word-counts")
+    # every block's row of a word gets the word's count in the corpus; a word has a row per block
+    word = Window.partitionBy("word").orderBy("block")
+    whole = word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = stage(words.select(
+        F.col("block").alias("of"), "number", "class", F.sum("n").over(whole).alias("c"),
+        (F.row_number().over(word) == 1).alias("first")), "word-counts")
     ends = both.where("NOT word_row AND train").count()
-    known = {r["class"]: (r["n"], r["v"]) for r in counts.where("c > 0").groupBy("class").agg(
+    known = {r["class"]: (r["n"], r["v"]) for r in counted.where("first AND c > 0").groupBy("class").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row per class
     total = sum(n for n, _ in known.values()) + ends
     distinct = sum(v for _, v in known.values()) + (ends > 0)
@@ -266,8 +287,7 @@ def score_texts(
         frequency[c] += n
     frequency /= frequency.sum()
     texts = both.where("NOT word_row").select("block", "id", "train", "ids")
-    held = words.join(counts, ["word", "class"]).select(
-        F.col("block").alias("of"), "number", "c", "class")
+    held = counted.select("of", "number", "c", "class")
     found = stage(
         texts.groupBy("block").cogroup(held.groupBy("of")).applyInArrow(
             _looked_up(id_type, log_mass, ends), f"id {id_sql}, train boolean, n_tokens bigint, n_known bigint,"
