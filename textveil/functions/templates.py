@@ -30,8 +30,8 @@ RULES = {
 _RULE_SHAPES = {
     "@ip": r"10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "@mac": r"AA:BB:CC:00:00:[0-9A-F]{2}",
-    "@account": r"1[0-9]{11,}",
-    "@arn": r"arn:aws:[a-z0-9\-]+:[a-z0-9\-]*:1[0-9]{11}:(?:[^\s\"'`:/]*/)?redacted-[0-9]+",
+    "@account": r"[1-9][0-9]{11,}",
+    "@arn": r"arn:aws:[a-z0-9\-]+:[a-z0-9\-]*:[1-9][0-9]{11,}:(?:[^\s\"'`:/]*/)?redacted-[0-9]+",
 }
 
 
@@ -82,7 +82,7 @@ def shape(template: str) -> str:
                 body += re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", part)
             else:
                 body += f"[0-9]{{{part},}}" if part else "[0-9]+"
-    return r"(?<![0-9])" + body if body[:1].isdigit() or body.startswith("[0-9]") else body
+    return r"(?<![0-9])" + body if body[:1].isdigit() or body.startswith(("[0-9]", "[1-9]")) else body
 
 
 def shapes(templates: Iterable[str]) -> str:
@@ -93,7 +93,7 @@ def shapes(templates: Iterable[str]) -> str:
     """
     by_first: dict[str, set[str]] = {}
     for t in templates:
-        first = t[0] if t[0] != "@" else {"@ip": "1", "@mac": "A", "@account": "1", "@arn": "a"}[t]
+        first = t[0] if t[0] != "@" else {"@ip": "1", "@mac": "A", "@account": "0", "@arn": "a"}[t]
         by_first.setdefault("0-9" if first in "0123456789{" else first, set()).add(shape(t))
     if not by_first:
         return "$^"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.detectors import Detector
@@ -19,17 +19,26 @@ MAPPING = ("scope string, value string, pseudonym string, category string, patte
 COLUMNS = [f.split()[0] for f in MAPPING.split(", ")]
 
 
-def with_scope(findings: DataFrame, scope: str, key: Sequence[str]) -> DataFrame:
-    """Add the ``scope`` column: '' for the corpus, the key of a document, or a column."""
+MOST = 1 << 62  # a number that a token spells beyond this is not counted past
+NULL = "\x00"  # stands for null in a scope, which must be equal to itself
+
+
+def scope_of(scope: str, key: Sequence[str]) -> Column:
+    """'' for the corpus, the key of a document, or a column; rows with a null share one."""
     if scope == "corpus":
-        return findings.withColumn("scope", F.lit(""))
+        return F.lit("")
     if scope == "document":
-        return findings.withColumn("scope", document_scope(key))
-    return findings.withColumn("scope", F.col(scope).cast("string"))
+        return document_scope(key)
+    return F.coalesce(F.col(scope).cast("string"), F.lit(NULL))
+
+
+def with_scope(findings: DataFrame, scope: str, key: Sequence[str]) -> DataFrame:
+    """Add the ``scope`` column of :func:`scope_of`."""
+    return findings.withColumn("scope", scope_of(scope, key))
 
 
-def document_scope(key: Sequence[str]):
-    return F.concat_ws("\x1f", *[F.col(c).cast("string") for c in key])
+def document_scope(key: Sequence[str]) -> Column:
+    return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in key])
 
 
 def distinct_values(findings: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -67,12 +76,12 @@ def number_values(
     group = ["scope", "category"]
     if scope == "document":
         numbered = values.withColumn(
-            "n", F.row_number().over(Window.partitionBy(*group).orderBy("first_seen")).cast("long"))
+            "n", F.row_number().over(Window.partitionBy(*group).orderBy("first_seen", "value")).cast("long"))
     else:
         tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = stage(
-            values.repartitionByRange(tasks, *group, "first_seen")
-            .sortWithinPartitions(*group, "first_seen")
+            values.repartitionByRange(tasks, *group, "first_seen", "value")
+            .sortWithinPartitions(*group, "first_seen", "value")
             .withColumn("_id", F.monotonically_increasing_id())
             .withColumn("_part", F.spark_partition_id()),
             "ranged",
@@ -110,25 +119,27 @@ def avoid_leftovers(
 
     Restoring would turn that text into the value. ``leftover(token)`` are such tokens,
     usually none. A clash moves past the last number in use and past every number that a
-    leftover token of the category spells, so a second round is rarely needed; constant
-    templates cannot move and stay marked as not reversible.
+    leftover token spells, so a second round is rarely needed, and rounds go on until no
+    clash is left. A value meets each token once at most, which bounds them; templates that
+    are constant or repeat after some numbers (MAC addresses) can run out of tokens and stay
+    marked as not reversible.
     """
     constant = [d.name for d in detectors if is_constant(d.template)]
     group = ["scope", "category"]
-    for _ in range(5):
+    for _ in range(leftover.count() + 1):
         tokens = leftover.select(F.col("token").alias("pseudonym"))
         clash = rendered.where(~F.col("pattern").isin(constant)).join(
             tokens, "pseudonym", "left_semi")
         if clash.isEmpty():
             return rendered
         spelled = leftover.select(
-            F.expr("max(try_cast(regexp_extract(token, '([0-9]{1,18})[^0-9]*$', 1) AS BIGINT))")
+            F.expr("max(try_cast(regexp_extract(token, '([0-9]+)[^0-9]*$', 1) AS BIGINT))")
             .alias("_spelled"))
         floor = (
             rendered.groupBy(*group).agg(F.max("n").alias("_last"))
             .withColumn("_spelled", F.lit(spelled.first()[0]))
             .select(*group, F.expr(
-                "CASE WHEN _spelled < 1000000000000 THEN greatest(_last, coalesce(_spelled, 0))"
+                f"CASE WHEN _spelled < {MOST} THEN greatest(_last, coalesce(_spelled, 0))"
                 " ELSE _last END").alias("_floor"))
         )
         moved = (

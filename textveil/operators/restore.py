@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textveil.functions.detectors import Detector
+from textveil.functions.dialect import java
 from textveil.functions.sql import text
 from textveil.functions.templates import shapes, shorter
-from textveil.operators.mapping import document_scope
+from textveil.operators.mapping import scope_of
 from textveil.operators.rewrite import apply_edits, edits_by_key
 from textveil.operators.scan import Scanner, explode_spans
 from textveil.operators.skew import hot_keys, join_hot
-from textveil.plans.storage import stage
+from textveil.plans.storage import ROW, stage, with_row
 
-# Up to this many entries a mapping is written into the expression (checked, not assumed).
+# A stream without a join holds up to this many entries in its expression (checked).
 INLINE_ENTRIES = 10_000
 
 ENTRIES = "array<struct<p:string,o:string>>"
@@ -31,15 +32,41 @@ def longest_first(entries: Column) -> Column:
     ).when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
 
 
-def replace_entries(column: Column, entries: Column) -> Column:
-    """Replace every entry literally, in order. A restored value can be matched again by a
-    later entry, as literal replacement one after the other does."""
-    return F.aggregate(entries, column, lambda t, e: F.replace(t, e["p"], e["o"]))
+def replace_once(column: Column, entries: Column, shape: str) -> Column:
+    """Replace the tokens of a text in one pass, so that a restored value is never replaced.
+
+    ``entries`` come longest first; a token may be an entry with digits of the text behind.
+    """
+    regex = java(shape)
+    pieces, tokens = F.split(column, regex, -1), F.regexp_extract_all(column, F.lit(f"({regex})"), F.lit(1))
+
+    def restored(token: Column) -> Column:
+        fits = F.filter(entries, lambda e: F.startswith(token, e["p"]) & F.substring(
+            token, F.length(e["p"]) + 1, F.length(token)).rlike("^[0-9]*$"))
+        first = F.get(fits, F.lit(0))
+        return F.coalesce(F.concat(first["o"], F.substring(token, F.length(first["p"]) + 1, F.length(token))), token)
+
+    values = F.concat(F.transform(tokens, restored), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(pieces, values, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.size(tokens) > 0, whole).otherwise(column)
+
+
+def mapping_shape(mapping: DataFrame) -> str | None:
+    """One regex for the pseudonyms of a mapping, whatever their templates; None if it is empty.
+
+    Pseudonyms that differ in numbers only have one shape, so the regex has as many branches
+    as there are templates, not entries.
+    """
+    plain = F.regexp_replace("pseudonym", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    rows = (mapping.where("reversible AND pseudonym <> ''")
+            .select(F.regexp_replace(plain, "[0-9]+", "[0-9]+").alias("s")).distinct().collect())
+    listed = sorted((r.s for r in rows), key=lambda x: (-len(x), x))
+    return "(?:" + "|".join(listed) + ")" if listed else None
 
 
 def small_mapping(mapping: DataFrame, limit: int = INLINE_ENTRIES) -> Column | None:
     """The mapping as one constant array, or None if it has more than ``limit`` rows."""
-    rows = (mapping.where("reversible").select("pseudonym", "value").distinct()
+    rows = (mapping.where("reversible").groupBy("pseudonym").agg(F.min("value").alias("value"))
             .limit(limit + 1).collect())
     if len(rows) > limit:
         return None
@@ -49,35 +76,36 @@ def small_mapping(mapping: DataFrame, limit: int = INLINE_ENTRIES) -> Column | N
 
 
 def restore_exact(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Literal replacement, longest pseudonym first; for mappings up to INLINE_ENTRIES rows.
+    """Restore pseudonyms of any shape, without knowing the detectors or scopes.
 
-    Takes mappings whose pseudonyms have any shape. Larger ones: :func:`restore_join`.
+    Tokens are cut by the shapes of the mapping itself and joined to it, so it can be of any
+    size. If scopes give a pseudonym different values, the smallest value counts.
     """
-    entries = small_mapping(mapping)
-    if entries is None:
-        raise ValueError(f"more than {INLINE_ENTRIES} mapping rows: use restore_join")
-    return df.withColumn(column, replace_entries(F.col(column), entries))
-
-
-def scan_tokens(
-    df: DataFrame, column: str, detectors: Sequence[Detector],
-) -> DataFrame:
-    """``df`` plus ``_tokens``, the pseudonym-shaped tokens of its text; written, with the
-    rows that hold any (``_dirty``) apart from the others."""
-    scanner = Scanner([_shape(detectors)])
-    scanned = scanner.spans(df, column, "_tokens").withColumn("_dirty", F.expr("size(_tokens) > 0"))
+    shape = mapping_shape(mapping)
+    if shape is None:
+        return df
+    flat = mapping.where("reversible").groupBy("pseudonym").agg(F.min("value").alias("value")).select(
+        F.lit("").alias("scope"), "pseudonym", "value", F.lit(True).alias("reversible"))
+    return _restored(df, column, flat, shape, F.lit(""))
+
+
+def scan_tokens(df: DataFrame, column: str, shape: str) -> DataFrame:
+    """``df`` plus ``_tokens``, the pseudonym-shaped tokens of its text, and an id of each row;
+    written, with the rows that hold any (``_dirty``) apart from the others."""
+    scanner = Scanner([Detector("token", "token", shape, "")])
+    scanned = scanner.spans(with_row(df), column, "_tokens").withColumn("_dirty", F.expr("size(_tokens) > 0"))
     return stage(scanned, "tokens", split="_dirty")
 
 
-def _shape(detectors: Sequence[Detector]) -> Detector:
-    return Detector("token", "token", shapes(d.template for d in detectors), "")
+def shape_of(detectors: Sequence[Detector]) -> str:
+    return shapes(d.template for d in detectors)
 
 
-def tokens_of(scanned: DataFrame, key: Sequence[str], scope: Column) -> DataFrame:
-    """One row per token: ``(key, _scope, v_start, v_end, pseudonym)``."""
+def tokens_of(scanned: DataFrame, scope: Column) -> DataFrame:
+    """One row per token: ``(row id, _scope, v_start, v_end, pseudonym)``."""
     rows = scanned.where("_dirty").withColumn("_scope", scope)
-    return explode_spans(rows, [_shape(())], [*key, "_scope"], "_tokens").select(
-        *key, "_scope", "v_start", "v_end", F.col("value").alias("pseudonym"))
+    return explode_spans(rows, [Detector("token", "token", "", "")], [ROW, "_scope"], "_tokens").select(
+        ROW, "_scope", "v_start", "v_end", F.col("value").alias("pseudonym"))
 
 
 def join_tokens(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -119,19 +147,18 @@ def restore_join(
     """Restore with a mapping of any size: tokenise, join, rebuild.
 
     Tokens are replaced once and all together, so a value that looks like another
-    pseudonym is left as it is. Texts without tokens are not shuffled.
+    pseudonym is left as it is. Texts without tokens are not shuffled. ``key`` matters for
+    ``scope="document"`` only; it may be null or repeat.
     """
-    scanned = scan_tokens(df, column, detectors)
-    found = join_tokens(tokens_of(scanned, key, scope_of(scope, key)), mapping)
-    changed = apply_edits(scanned.where("_dirty").select(*df.columns),
-                          edits_by_key(found, key, "_value"), key, column)
-    return changed.unionByName(scanned.where("NOT _dirty").select(*df.columns))
+    return _restored(df, column, mapping, shape_of(detectors), scope_of(scope, key))
 
 
-def scope_of(scope: str, key: Sequence[str]) -> Column:
-    if scope == "corpus":
-        return F.lit("")
-    return document_scope(key) if scope == "document" else F.col(scope).cast("string")
+def _restored(df: DataFrame, column: str, mapping: DataFrame, shape: str, scope: Column) -> DataFrame:
+    scanned = scan_tokens(df, column, shape)
+    found = join_tokens(tokens_of(scanned, scope), mapping)
+    changed = apply_edits(scanned.where("_dirty").select(*df.columns, ROW),
+                          edits_by_key(found, [ROW], "_value"), [ROW], column)
+    return changed.select(*df.columns).unionByName(scanned.where("NOT _dirty").select(*df.columns))
 
 
 def restored_count(
@@ -139,13 +166,14 @@ def restored_count(
     key: Sequence[str] = ("doc_id",), scope: str = "corpus",
 ) -> DataFrame:
     """How many different pseudonyms of the mapping occur in each text."""
-    scanned = scan_tokens(df, column, detectors)
+    scanned = scan_tokens(df, column, shape_of(detectors))
     counts = (
-        join_tokens(tokens_of(scanned, key, scope_of(scope, key)), mapping)
-        .select(*key, "pseudonym").distinct()
-        .groupBy(*key).agg(F.count(F.lit(1)).alias("restored"))
+        join_tokens(tokens_of(scanned, scope_of(scope, key)), mapping)
+        .select(ROW, "pseudonym").distinct()
+        .groupBy(ROW).agg(F.count(F.lit(1)).alias("restored"))
     )
-    return df.select(*key).join(counts, list(key), "left").na.fill(0, ["restored"])
+    return (scanned.select(*key, ROW).join(counts, ROW, "left")
+            .select(*key, F.coalesce("restored", F.lit(0)).alias("restored")))
 
 
 # -- nested records --------------------------------------------------------------------------
@@ -192,32 +220,28 @@ def restore_nested(
     df: DataFrame, mapping: DataFrame, detectors: Sequence[Detector] | None = None,
     key: Sequence[str] = (), skip: Sequence[str] = (),
 ) -> DataFrame:
-    """Restore every string inside structs, arrays and map values.
+    """Restore every string inside structs, arrays and map values, each in one pass.
 
-    With ``key`` and ``detectors`` the mapping can have any size: each row is first joined
-    to the entries its own strings mention. Without, it is a constant and must be small.
+    Each row is first joined to the entries its own strings mention, so the mapping can have
+    any size. Without ``detectors`` the shapes of its pseudonyms are taken from the mapping.
+    ``key`` columns and those of ``skip`` stay as they are.
     """
     columns = [f for f in df.schema
                if f.name not in (*key, *skip) and holds_strings(f.dataType)]
-    if not key or detectors is None:
-        entries = small_mapping(mapping)
-        if entries is None:
-            raise ValueError("a large mapping needs key and detectors")
-        return df.withColumns({
-            f.name: map_strings(F.col(f.name), f.dataType,
-                                lambda c: replace_entries(c, entries)) for f in columns})
+    shape = shape_of(detectors) if detectors is not None else mapping_shape(mapping)
+    if shape is None or not columns:
+        return df
     lines = F.concat_ws("\n", *[_strings(F.col(f.name), f.dataType) for f in columns])
-    scanned = scan_tokens(df.withColumn("_lines", lines), "_lines", detectors)
+    scanned = scan_tokens(df.withColumn("_lines", lines), "_lines", shape)
     own = (
-        join_tokens(tokens_of(scanned, key, F.lit("")), mapping)
-        .groupBy(*key).agg(F.collect_set(F.struct(
+        join_tokens(tokens_of(scanned, F.lit("")), mapping)
+        .groupBy(ROW).agg(F.collect_set(F.struct(
             F.col("pseudonym").alias("p"), F.col("_value").alias("o"))).alias("_entries"))
         .withColumn("_entries", longest_first(F.col("_entries")))
     )
-    order = df.columns
-    joined = df.join(own, list(key), "left").withColumn(
+    changed = scanned.where("_dirty").join(own, ROW, "left").withColumn(
         "_entries", F.coalesce("_entries", F.array().cast(ENTRIES)))
-    return joined.withColumns({
+    changed = changed.withColumns({
         f.name: map_strings(F.col(f.name), f.dataType,
-                            lambda c: replace_entries(c, F.col("_entries"))) for f in columns
-    }).select(*order)
+                            lambda c: replace_once(c, F.col("_entries"), shape)) for f in columns})
+    return changed.select(*df.columns).unionByName(scanned.where("NOT _dirty").select(*df.columns))

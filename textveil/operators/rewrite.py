@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textveil.functions.detectors import Detector
 from textveil.functions.sql import let, text
 from textveil.functions.templates import render_sql, shorter
-from textveil.operators.mapping import COLUMNS
+from textveil.operators.mapping import COLUMNS, MOST
 
 
 def rebuild_text(column: str, edits: str) -> Column:
@@ -106,7 +106,7 @@ def mapping_in_row(
         return df.selectExpr(*keep, f"{entries('x.n')} AS _mapping")
     df = df.selectExpr(*keep, "_numbered", f"{entries('x.n')} AS _mapping")
     spelled = ("coalesce(array_max(filter(transform(" + leftover + ", t -> try_cast("
-               "regexp_extract(t, '([0-9]{1,12})[^0-9]*$', 1) AS BIGINT)), b -> b IS NOT NULL)), 0)")
+               f"regexp_extract(t, '([0-9]+)[^0-9]*$', 1) AS BIGINT)), b -> b < {MOST})), 0)")
     readings = f"flatten(transform({leftover}, t -> concat(array(t), {shorter('t')})))"
     df = df.selectExpr("*", (
         f"CASE WHEN {leftover} IS NOT NULL AND arrays_overlap({readings},"

@@ -20,7 +20,7 @@ from textveil.operators.restore import restore_exact, restore_join, restore_nest
 from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, redact_in_row
 from textveil.operators.scan import Scanner, explode_spans
 from textveil.operators.skew import hot_keys, join_hot
-from textveil.plans.storage import stage
+from textveil.plans.storage import ROW, stage, with_row
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Redaction:
     documents: DataFrame
     mapping: DataFrame
     findings: DataFrame
+    leftovers: DataFrame | None = None  # pseudonym-shaped tokens that stand in the texts
 
 
 class Veil:
@@ -107,25 +108,25 @@ class Veil:
         """
         scanner = self._scanner(allowed="_allowed")
         allow = self.allow.select(F.col("value").alias("match")).distinct()
-        todo = df.withColumn("_allowed", F.array().cast("array<string>"))
+        todo = with_row(df).withColumn("_allowed", F.array().cast("array<string>"))
         done: list[DataFrame] = []
         while True:
             scanned = stage(self._scan(scanner, todo, columns), "scanned")
             found = reduce(DataFrame.unionByName, [
-                explode_spans(scanned, self.detectors, key, f"_spans_{i}", c).select(*key, "match")
+                explode_spans(scanned, self.detectors, [ROW], f"_spans_{i}", c).select(ROW, "match")
                 for i, c in enumerate(columns)
             ])
             held = stage(
                 found.join(allow, "match", "left_semi")
-                .groupBy(*key).agg(F.collect_set("match").alias("_more")), "allowed")
+                .groupBy(ROW).agg(F.collect_set("match").alias("_more")), "allowed")
             if held.isEmpty():
                 done.append(scanned)
                 return reduce(DataFrame.unionByName, done).drop("_allowed")
-            done.append(scanned.join(held, list(key), "left_anti"))
+            done.append(scanned.join(held, ROW, "left_anti"))
             todo = (
-                scanned.join(held, list(key))
+                scanned.join(held, ROW)
                 .withColumn("_allowed", F.array_union("_allowed", "_more"))
-                .select(*df.columns, "_allowed")
+                .select(*df.columns, ROW, "_allowed")
             )
 
     def findings(self, scanned: DataFrame, columns: str | Sequence[str] = "text",
@@ -152,13 +153,18 @@ class Veil:
         scope: str = "corpus",
         mapping: DataFrame | None = None,
         whole: bool = True,
+        leftovers: DataFrame | None = None,
     ) -> Redaction:
         """Replace every finding by its pseudonym.
 
         ``scope`` says who shares a numbering: ``corpus``, ``document``, or a column (for
         instance a file path). ``key`` identifies a row and gives the corpus its order. An
         earlier ``mapping`` is kept and continued; without ``whole`` the result's mapping has
-        only the rows this table needs.
+        only the rows this table needs. ``leftovers(token)`` are pseudonym-shaped tokens of
+        texts redacted earlier, which no new value may be given.
+
+        Keys may be null or repeat: rows are told apart by an id of their own, and a null
+        scope is a scope like any other.
 
         Detection runs once and is written to the shared folder; after that only documents
         with findings are shuffled, and clean ones pass through.
@@ -168,19 +174,20 @@ class Veil:
         scanned = stage_scanned(self.scan(df, columns, key), columns)
         if scope == "document" and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
-        return self.redact_scanned(scanned, columns, key, order, scope, mapping, whole)
+        return self.redact_scanned(scanned, columns, key, order, scope, mapping, whole,
+                                   leftovers)
 
     def redact_scanned(
         self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
         order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
-        whole: bool = True,
+        whole: bool = True, leftovers: DataFrame | None = None,
     ) -> Redaction:
         """Number, render and rewrite a table from :func:`stage_scanned`."""
         keep = [] if scope in ("corpus", "document") else [scope]
         keep = [c for c in keep if c not in key]
         dirty = scanned.where("_dirty")
         findings = with_scope(self.findings(dirty, columns, key, keep), scope, key)
-        spans = with_scope(self.findings(dirty, columns, key, keep, match=False), scope, key)
+        spans = with_scope(self.findings(dirty, columns, [*key, ROW], keep, match=False), scope, key)
         values = stage(distinct_values(spans, [*key, "col"]), "values")
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
@@ -188,19 +195,20 @@ class Veil:
         # a token also stands for its shorter readings, see restore.join_tokens
         leftover = leftover.select(
             F.expr(f"explode(concat(array(token), {shorter('token')})) AS token")).distinct()
+        taken = leftover if leftovers is None else leftover.union(leftovers.select("token")).distinct()
         table = stage(
-            build_mapping(values, self.detectors, scope, mapping, leftover, whole), "mapping")
+            build_mapping(values, self.detectors, scope, mapping, taken, whole), "mapping")
         total = values.agg(F.sum("uses")).first()[0] or 0
         hot = hot_keys(values, ["scope", "value"], total)
         named = join_hot(
-            spans.select(*key, "scope", "value", "col", "v_start", "v_end"),
+            spans.select(ROW, "scope", "value", "col", "v_start", "v_end"),
             table.select("scope", "value", "pseudonym"),
-            ["scope", "value"], hot, [*key, "v_start"],
+            ["scope", "value"], hot, [ROW, "v_start"],
         )
-        changed = apply_edits(dirty.select(*order), edits_by_key(named, key, "pseudonym"),
-                              key, columns)
-        documents = changed.unionByName(scanned.where("NOT _dirty").select(*order))
-        return Redaction(documents, table, findings)
+        changed = apply_edits(dirty.select(*order, ROW), edits_by_key(named, [ROW], "pseudonym"),
+                              [ROW], columns)
+        documents = changed.select(*order).unionByName(scanned.where("NOT _dirty").select(*order))
+        return Redaction(documents, table, findings, leftover)
 
     def _redact_rows(self, scanned: DataFrame, column: str, key: list[str],
                      order: list[str]) -> Redaction:
@@ -244,6 +252,7 @@ def _listed(names: str | Sequence[str]) -> list[str]:
 
 
 def stage_scanned(scanned: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Write a scanned table, rows with findings (``_dirty``) apart from clean ones."""
+    """Write a scanned table, rows with findings (``_dirty``) apart from clean ones,
+    with an id of each row."""
     dirty = " OR ".join(f"size(_spans_{i}) > 0" for i in range(len(columns)))
-    return stage(scanned.withColumn("_dirty", F.expr(dirty)), "scanned", split="_dirty")
+    return stage(with_row(scanned).withColumn("_dirty", F.expr(dirty)), "scanned", split="_dirty")

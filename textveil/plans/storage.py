@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -38,6 +39,14 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+ROW = "_veil_row"
+
+
+def with_row(df: DataFrame) -> DataFrame:
+    """Add an id of each row, unique whatever the keys; stable once the table is staged."""
+    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def stage(df: DataFrame, name: str, split: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 

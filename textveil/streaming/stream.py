@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textveil.operators.mapping import COLUMNS, MAPPING, mark_reversible
-from textveil.operators.restore import replace_entries, small_mapping
+from textveil.operators.restore import mapping_shape, replace_once, small_mapping
 from textveil.plans.engine import Veil
 
 STORED = ", ".join(f for f in MAPPING.split(", ")) + ", batch_id bigint"
@@ -23,28 +23,45 @@ def redact_stream(sdf: DataFrame, engine: Veil, column: str = "text") -> DataFra
 
 def read_stream_mapping(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The mapping that batches have written so far (or those before one batch)."""
+    return _read(spark, path, STORED, before)
+
+
+def _read(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame:
     try:
-        rows = spark.read.schema(STORED).parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], STORED)
+        rows = spark.createDataFrame([], schema)
     return rows.where(F.col("batch_id") < before) if before is not None else rows
 
 
+def _tokens(mapping_path: str) -> str:
+    return f"{mapping_path.rstrip('/')}-tokens"
+
+
+def read_stream_leftovers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Pseudonym-shaped tokens that stand in the texts of the batches so far."""
+    return _read(spark, _tokens(path), "token string, batch_id bigint", before).select("token").distinct()
+
+
 def redact_batch(
     batch: DataFrame, batch_id: int, engine: Veil, mapping_path: str, out_path: str,
     columns: str | Sequence[str] = "text", key: str | Sequence[str] = "doc_id",
 ) -> None:
     """One micro-batch: look up known values, number new ones, write both results.
 
-    Both writes go to a folder named by the batch and replace it. The mapping that a batch
+    The pseudonym-shaped tokens of a batch's texts are kept beside the mapping
+    (``<mapping_path>-tokens``), so that later batches don't give them to a value. All writes go to a folder named by the batch and replace it. The mapping that a batch
     continues is the one of earlier batches, so running a batch again changes nothing.
     """
     spark = batch.sparkSession
     known = read_stream_mapping(spark, mapping_path, batch_id).select(*COLUMNS)
-    done = engine.redact(batch, columns, key, mapping=known, whole=False)
+    earlier = read_stream_leftovers(spark, mapping_path, batch_id)
+    done = engine.redact(batch, columns, key, mapping=known, whole=False, leftovers=earlier)
     fresh = done.mapping.join(known.select("scope", "value"), ["scope", "value"], "left_anti")
+    if done.leftovers is not None:
+        done.leftovers.write.mode("overwrite").parquet(f"{_tokens(mapping_path)}/batch_id={batch_id}")
     fresh.write.mode("overwrite").parquet(f"{mapping_path}/batch_id={batch_id}")
     done.documents.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
@@ -67,15 +84,16 @@ def start_redaction(
 
 def final_mapping(spark: SparkSession, mapping_path: str) -> DataFrame:
     """The streamed mapping as one table, with ``reversible`` judged over all batches."""
-    return mark_reversible(read_stream_mapping(spark, mapping_path).select(*COLUMNS))
+    return mark_reversible(read_stream_mapping(spark, mapping_path).select(*COLUMNS),
+                           read_stream_leftovers(spark, mapping_path))
 
 
 def restore_stream(sdf: DataFrame, mapping: DataFrame, column: str = "text") -> DataFrame:
     """Restore a stream with a small static mapping, as a plain expression."""
-    entries = small_mapping(mapping)
+    entries, shape = small_mapping(mapping), mapping_shape(mapping)
     if entries is None:
         raise ValueError("large mapping: use start_restore")
-    return sdf.withColumn(column, replace_entries(F.col(column), entries))
+    return sdf.withColumn(column, replace_once(F.col(column), entries, shape)) if shape else sdf
 
 
 def start_restore(
