@@ -80,7 +80,8 @@ def test_adversarial_inputs_finish(spark):
         "A" * 50_000, "\n" * 50_000, "1" * 10_000, "4" + "1" * 10_000 + " 4111 1111 1111 111",
         'password = "' + "x" * 10_000, "GB" + "9" * 100, "a@" * 500 + "b.com",
         "(" * 1000 + "email: a@b.com" + ")" * 1000, "a." * 5_000 + "com", "1 " * 5_000,
-        "user is " * 1_000, "-----BEGIN A-----" * 500, "".join(map(chr, range(256))),
+        "user is " * 1_000, "vat" + " " * 50_000, "vat" + " " * 10_000, "@" + "a" * 50_000,
+        "@" + "a" * 10_000, "eyJ" * 16_000, "eyJ" * 3_000, "-----BEGIN A-----" * 500, "".join(map(chr, range(256))),
         "".join(chr(i) for i in range(0x10000, 0x10010)),
     ]
     engine = Veil()
@@ -88,7 +89,7 @@ def test_adversarial_inputs_finish(spark):
     for text in texts:
         began = time.time()
         (redacted, mapping), = redact_each(spark, [text], engine)
-        assert time.time() - began < 10
+        assert time.time() - began < (2 if len(text) <= 10_000 else 10)
         for pseudonym in sorted(mapping, key=len, reverse=True):
             redacted = redacted.replace(pseudonym, mapping[pseudonym])
         assert redacted == text

@@ -32,6 +32,7 @@ class Detector:
     languages        languages the text must show (empty: any)
     trim             white space at the end of the value stays in the text
     allowable        the allowlist can spare a match
+    labelled         starts with a keyword (see ``strict`` of the engine)
     python_check     vectorised predicate ``pandas.Series -> pandas.Series`` over values
     """
 
@@ -50,6 +51,7 @@ class Detector:
     languages: tuple[str, ...] = ()
     trim: bool = False
     allowable: bool = True
+    labelled: bool = False
     python_check: Callable | None = None
 
     @property
@@ -77,7 +79,7 @@ def _labelled(name, category, priority, confidence, labels, sep, value, template
     return Detector(
         name, category, f"({before}(?:{labels}){sep})({value}){after}", template, priority,
         confidence, prefix=1, value=2, ignore_case=True, literals=leading_literals(labels),
-        gate=gate, trim=trim,
+        gate=gate, trim=trim, labelled=True,
     )
 
 
@@ -102,7 +104,7 @@ BUILT_IN: tuple[Detector, ...] = (
              rf"((?:{any_word(w.HEX_SECRET_WORDS)})\s*[=:]\s*[\"']?)([a-fA-F0-9]{{32,64}})[\"']?",
              "REDACTED_HEX_{n}", 11, "medium", 1, 2, literals=fewest(w.HEX_SECRET_WORDS)),
     _plain("jwt", "secret", 12, "high",
-           r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+           r"(?<!eyJ)eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+",
            "REDACTED_JWT_{n}", literals=("eyj",)),
     Detector("bearer_token", "secret", r"((?:Authorization:\s*)?Bearer\s+)([a-zA-Z0-9._\-+/=]{20,})",
              "REDACTED_BEARER_{n}", 13, "high", 1, 2, ("not_redacted",), ignore_case=True,
@@ -143,7 +145,7 @@ BUILT_IN: tuple[Detector, ...] = (
               r"policy\s+(?:number|no|#)|insurance\s+id|member\s+id|subscriber\s+id"
               r"|group\s+(?:number|no|#)|plan\s+id",
               H, r"[A-Z0-9]{4,20}", "POLICY-{n:06d}", gate=None),
-    _labelled("id_vat", "ssn", 38, "high", r"vat[_\s]*(?:reg(?:istration)?[_\s]*)?(?:number|no|id)?",
+    _labelled("id_vat", "ssn", 38, "high", r"vat[_\s]*+(?:reg(?:istration)?[_\s]*+)?(?:number|no|id)?",
               H, r"[A-Z]{2}\d{8,12}[A-Z]?", "VAT{n:09d}"),
     # --- keyword secrets ------------------------------------------------------------
     Detector("generic_secret", "secret",
@@ -236,7 +238,10 @@ BUILT_IN: tuple[Detector, ...] = (
            "@mac", gate="hex_pairs"),
     _plain("uuid", "uuid", 52, "medium", rf"\<{_GUID}\>", "00000000-0000-4000-a000-{n:012d}",
            gate="hex8"),
-    _plain("email", "email", 55, "high", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
+    # only where a run begins, or where one goes on right after a match: others fail as it did
+    _plain("email", "email", 55, "high",
+           r"(?:(?<![a-zA-Z0-9._%+\-])|(?<=[a-zA-Z])(?=[0-9._%+\-]))"
+           r"[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
            "user-{n}@redacted.example.net", literals=("@",)),
     Detector("ipv4", "ip", rf"\<((?:{_OCTET}\.){{3}}{_OCTET})(?:/\d{{1,2}})?\>", "@ip", 60, "medium",
              value=1, check=("public_ip",), gate="dotted_digits"),

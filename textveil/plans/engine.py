@@ -14,7 +14,7 @@ from textveil.functions.detectors import (
     BUILT_IN, Detector, custom_detector, custom_words, enabled, foreign_secrets, ordered,
 )
 from textveil.functions.dialect import java
-from textveil.functions.templates import shapes, shorter
+from textveil.functions.templates import is_constant, shapes, shorter
 from textveil.operators.mapping import build_mapping, distinct_values, document_scope, with_scope
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
 from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, redact_in_row
@@ -44,6 +44,8 @@ class Veil:
     extra       further detectors, placed by priority
     given, surnames   dictionaries of the person-name check
     languages   look for secret keywords of other languages
+    unique      number constant pseudonyms too (``[AGE]~3``), so that all can be restored
+    strict      keywords of the built-in detectors begin at a word's start only
     """
 
     def __init__(
@@ -58,10 +60,17 @@ class Veil:
         surnames: Iterable[str] = w.SURNAMES,
         languages: bool = True,
         detectors: Iterable[Detector] | None = None,
+        unique: bool = False,
+        strict: bool = False,
     ):
         built_in = list(BUILT_IN if detectors is None else detectors)
         if languages and detectors is None:
             built_in += foreign_secrets()
+        if strict:
+            built_in = [replace(d, regex=r"\<" + d.regex) if d.labelled else d for d in built_in]
+        if unique:
+            built_in = [replace(d, template=d.template + "~{n}") if is_constant(d.template) else d
+                        for d in built_in]
         # the caller's switches never silence the caller's own words, patterns and packs
         ahead = [*custom_words(words), *patterns]
         ahead += [replace(d, priority=-5) for pack in packs for d in pack]

@@ -241,6 +241,14 @@ def oracle_sql() -> dict[str, str]:
       ) WHERE {OWN} GROUP BY page_id, col, value"""
     plate = r"(?i)((?:plate|license\s*plate|tag|registration)[-.\s:]*)([A-Z0-9]{1,4}[-.\s]?[A-Z0-9]{2,5})"
     out["find_plates"] = f"SELECT doc_id, start, v_start, value FROM ({matches('documents', 'doc_id', 'text', plate, 2)})"
+    strict = plate.replace("(?i)((?:", r"(?i)((?:^|[^\pL\pN_])(?:")
+    out["find_plates_strict"] = f"SELECT doc_id, v_start, value FROM ({matches('documents', 'doc_id', 'text', strict, 2)})"
+    for name in ("redact_null_key", "redact_duplicate_key", "redact_null_scope"):
+        out[name] = 'SELECT doc_id AS id, text, CAST(0 AS BIGINT) AS "left" FROM documents'
+    out["restore_unique"] = """
+      SELECT o_orderkey AS doc_id, concat('due ', CAST(o_orderdate AS DATE), ' born on 0', o_orderkey % 9 + 1, '/0',
+        o_custkey % 9 + 1, '/19', 50 + o_orderkey % 50, ' and due ', CAST(o_orderdate AS DATE) + 1) AS text,
+        true AS numbered FROM orders"""
     out["find_spans_offsets"] = with_(three(), select=FULL.replace("FROM f", "FROM raw"))
     out["scan_documents"] = with_(three(), select=FULL)
     out["resolve_overlaps"] = expected_sql("network")

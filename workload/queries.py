@@ -511,6 +511,45 @@ def stream_back(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("doc_id", "text")
 
 
+MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+
+
+def awkward(key: str = "doc_id", source: str = "source", scope: str = "corpus") -> Query:
+    """Redact and restore under null or repeated keys and scopes; mails that were left."""
+
+    def run(spark, sf):
+        engine = three()
+        docs = table(spark, sf, "documents").selectExpr("doc_id AS id", f"{key} AS doc_id", "text", f"{source} AS source")
+        done = engine.redact(docs, scope=scope)
+        left = F.expr("size(filter(regexp_extract_all(text, '" + MAIL.replace("\\", "\\\\")
+                      + "', 0), m -> NOT endswith(m, '@redacted.example.net')))")
+        mails = done.documents.select("id", left.cast("long").alias("left"))
+        back = restore_join(done.documents, "text", done.mapping, engine.detectors, ["doc_id"], scope)
+        return back.select("id", "text").join(mails, "id")
+
+    return run
+
+
+UNIQUE = ("date_iso", "dob", "age", "gender")
+
+
+def restore_unique(spark, sf):
+    """Two lines of equal kind: constant pseudonyms are numbered and come back."""
+    engine = Veil(detectors=by_name(*UNIQUE), unique=True)
+    lines = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS doc_id", "concat('due ', CAST(o_orderdate AS DATE), ' born on 0', o_orderkey % 9 + 1, '/0', o_custkey % 9 + 1,"
+        " '/19', 50 + o_orderkey % 50, ' and due ', date_add(CAST(o_orderdate AS DATE), 1)) AS text")
+    done = engine.redact(lines)
+    left = done.documents.selectExpr("doc_id", "CAST(contains(text, '~') AS BOOLEAN) AS numbered")
+    return engine.restore(done.documents, done.mapping).join(left, "doc_id")
+
+
+def plates_strict(spark, sf):
+    engine = Veil(detectors=by_name("plate_us"), strict=True)
+    scanned = engine.scan(documents(spark, sf))
+    return engine.findings(scanned).select("doc_id", "v_start", "value")
+
+
 def queries() -> dict[str, Query]:
     every: dict[str, Query] = {f"find_{name}": family(name) for name in LINES}
     every |= {
@@ -567,6 +606,11 @@ def queries() -> dict[str, Query]:
         "redact_by_source": redact("source"),
         "redact_everything": redact_everything,
         "redact_multi_column": multi_column,
+        "redact_null_key": awkward(key="CASE WHEN doc_id % 2 = 0 THEN doc_id END"),
+        "redact_duplicate_key": awkward(key="doc_id div 10"),
+        "redact_null_scope": awkward(source="CASE WHEN doc_id % 3 <> 0 THEN source END", scope="source"),
+        "restore_unique": restore_unique,
+        "find_plates_strict": plates_strict,
         "restore_exact": restored("exact"),
         "restore_join": restored("join"),
         "restore_by_document": restored("document"),
