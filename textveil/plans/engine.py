@@ -234,6 +234,8 @@ class Veil:
 
         Adds ``mapping``, the row's ``{pseudonym: value}``.
         """
+        if isinstance(self.allow, DataFrame) and df.isStreaming:
+            raise ValueError("an allowlist table needs batches: use start_redaction")
         scanned = self.scan(df, column)
         rows = redact_in_row(scanned, column, "_spans_0", self.detectors, "_left_0")
         pairs = F.map_from_entries(F.expr(

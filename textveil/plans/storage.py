@@ -39,6 +39,16 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/textveil/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application has staged; results that read them are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 ROW = "_veil_row"
 
 
@@ -56,16 +66,14 @@ def stage(df: DataFrame, name: str, split: str | None = None) -> DataFrame:
     Cuts the lineage (a lost executor re-reads a file instead of re-running detection),
     lets several consumers share the work, and gives later joins real sizes.
     """
-    path = f"{shared_folder(df.sparkSession)}/textveil/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if split:
-        # two open writers per task instead of a sort of whole rows by the flag
+        # two open writers per task instead of a sort of whole rows by the flag; set once and
+        # for good, as other threads may write at the same time
         spark = df.sparkSession
-        before = spark.conf.get(_WRITERS)
-        spark.conf.set(_WRITERS, "2")
-        try:
-            df.write.partitionBy(split).parquet(path)
-        finally:
-            spark.conf.set(_WRITERS, before)
+        if spark.conf.get(_WRITERS) == "0":
+            spark.conf.set(_WRITERS, "2")
+        df.write.partitionBy(split).parquet(path)
     else:
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

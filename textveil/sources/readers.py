@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +27,30 @@ def read_corpus(
 
 
 def read_env_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Files as numbered lines ``(path, line_no, line)``; a carriage return stays."""
+    """Files as numbered lines ``(path, line_no, line)``; a carriage return stays.
+
+    A file is read as one row; for files beyond some hundred MB use :func:`read_lines`."""
     return split_lines(read_corpus(spark, path), "path")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files of any size as numbered lines ``(path, line_no, line)``, read in splits.
+
+    Lines are numbered within each split of a file and shifted by the counts of the splits
+    before it, so no task holds a whole file. A carriage return stays; a line feed at the end
+    of a file is not followed by another line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    split = Window.partitionBy("path", "_at").orderBy("_id")
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("path", "_at").agg(F.count(F.lit(1)).alias("_n")).select(
+        "path", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.withColumn("_nth", F.row_number().over(split) - 1).join(counts, ["path", "_at"])
+    return numbered.select("path", (F.col("_before") + F.col("_nth")).alias("line_no"), "line")
+
+
 def split_lines(df: DataFrame, *key: str, column: str = "text") -> DataFrame:
     """Whole texts -> numbered lines (0-based)."""
     return df.select(*key, F.posexplode(F.split(column, "\n", -1)).alias("line_no", "line"))

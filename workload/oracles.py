@@ -428,9 +428,17 @@ def oracle_sql() -> dict[str, str]:
     out["split_lines"] = """
       SELECT doc_id, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id"""
-    out["read_corpus"] = "SELECT doc_id, length(text) AS chars FROM documents"
+    out["read_corpus"] = "SELECT doc_id, text, length(text) AS chars FROM documents"
     out["read_allowlist"] = "SELECT DISTINCT trim(c_name) AS value FROM customer"
-    out["read_records"] = "SELECT conv_id, turn, role AS who, length(text) AS chars FROM conversations"
+    out["read_records"] = "SELECT conv_id, turn, role AS who, text, length(text) AS chars FROM conversations"
+    out["read_text_files"] = "SELECT doc_id, replace(text, chr(10), ' ') AS text, true AS same FROM documents"
+    out["read_env_files"] = f"SELECT line, true AS redacted FROM ({env_lines()}) WHERE line <> ''"
+    out["mapping_files"] = with_(three(), numbered("''"), select="SELECT value, pseudonym FROM m")
+    out["find_domains_sites"] = f"""
+      SELECT page_id, value FROM (SELECT page_id, unnest(regexp_extract_all(
+        replace(url, 'example.com', concat('site', page_id % 50, '.org')), {q(DOMAIN)}, 1)) AS value FROM pages)
+      WHERE {OWN}"""
+    out["find_identifiers_hosts"] = "SELECT page_id, concat('web', page_id, 'x') AS value FROM pages"
     out["write_redacted"] = out["redact_documents"]
     out["redact_stream_batches"] = with_(three(), english, numbered(source="fe"), cont,
                                          "mm AS (SELECT * FROM m2)",

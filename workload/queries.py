@@ -18,13 +18,14 @@ from textveil.functions.detectors import BUILT_IN, FAMILIES, foreign_secrets, or
 from textveil.functions.languages import keywords_for
 from textveil.functions.templates import render_pseudonym
 from textveil.operators import audit, findings as fnd, mapping as mp
-from textveil.operators.env import redact_env
+from textveil.operators.env import redact_env, restore_env
 from textveil.operators.restore import restore_exact, restore_join, restore_nested, restored_count
 from textveil.operators.scan import Scanner, explode_spans, resolve_overlaps
 from textveil.operators.skew import join_hot
 from textveil.plans.storage import shared_folder, spread_small, stage
 from textveil.sources.readers import (
-    mapping_from_json, read_allowlist, read_corpus, read_records, split_lines,
+    mapping_from_json, read_allowlist, read_corpus, read_env_lines, read_lines, read_mapping,
+    read_records, split_lines,
 )
 from textveil.sources.writers import mapping_objects, write_mapping, write_redacted
 from textveil.streaming import stream
@@ -447,7 +448,7 @@ def lines_of(spark, sf):
 
 def corpus_source(spark, sf):
     docs = read_corpus(spark, f"{sf}/documents.parquet", ["doc_id", "text"], "parquet")
-    return docs.select("doc_id", F.length("text").alias("chars"))
+    return docs.select("doc_id", "text", F.length("text").alias("chars"))
 
 
 def allowlist_source(spark, sf):
@@ -463,7 +464,7 @@ def records_source(spark, sf):
     records = read_records(
         spark, path, "conv_id bigint, turn bigint, body struct<who:string,text:string>")
     return records.select("conv_id", "turn", F.col("body.who").alias("who"),
-                          F.length("body.text").alias("chars"))
+                          F.col("body.text").alias("text"), F.length("body.text").alias("chars"))
 
 
 def written(spark, sf):
@@ -472,6 +473,49 @@ def written(spark, sf):
     return spark.read.parquet(path)
 
 
+def text_files(spark, sf):
+    """One file per language, whole and in numbered lines, against each other."""
+    path = new_folder(spark, "files")
+    (table(spark, sf, "documents").selectExpr("lang", "concat(doc_id, ' ', replace(text, '\\n', ' ')) AS value")
+     .repartition(1, "lang").sortWithinPartitions("lang", "value").write.partitionBy("lang").text(path))
+    whole = split_lines(read_corpus(spark, f"{path}/*/*.txt"), "path").where("line <> ''")
+    lines = read_lines(spark, f"{path}/*/*.txt").withColumnRenamed("line", "again")
+    both = whole.withColumn("line_no", F.col("line_no").cast("long")).join(lines, ["path", "line_no"], "full")
+    return both.selectExpr("CAST(split_part(line, ' ', 1) AS BIGINT) AS doc_id",
+                           "substring(line, length(split_part(line, ' ', 1)) + 2) AS text", "line = again AS same")
+
+
+def env_files(spark, sf):
+    """Configuration files: redacted line by line and restored."""
+    path = new_folder(spark, "env")
+    sql_over(spark, sf, "customer", env_lines()).select("line").write.text(path)
+    lines = read_env_lines(spark, f"{path}/*.txt").where("line <> ''")
+    done = redact_env(lines)
+    left = done.documents.where("line LIKE '%REDACTED_ENV_%'").count() > 0
+    return restore_env(done.documents, done.mapping).select("line", F.lit(left).alias("redacted"))
+
+
+def mapping_files(spark, sf):
+    """A mapping as JSON files and back."""
+    path = new_folder(spark, "mapping")
+    mapping = corpus_mapping(spark, sf)
+    write_mapping(mapping, path, "jsonl")
+    return read_mapping(spark, path, "jsonl").select("value", "pseudonym")
+
+
+def domains_of_sites(spark, sf):
+    engine = Veil(detectors=by_name("domain"))
+    pages = table(spark, sf, "pages").selectExpr(
+        "page_id", "replace(url, 'example.com', concat('site', page_id % 50, '.org')) AS url")
+    return engine.findings(engine.scan(pages, "url", ["page_id"]), "url", ["page_id"]).select("page_id", "value")
+
+
+def identifiers_of_pages(spark, sf):
+    pages = table(spark, sf, "pages").selectExpr(
+        "page_id", "concat(html, ' hostname: web', page_id, 'x') AS html")
+    return find_spans(pages, "html", by_name("generic_identifier_unquoted"), key=["page_id"]).select("page_id", "value")
+
+
 # -- streams ----------------------------------------------------------------------------------
 
 
@@ -634,6 +678,11 @@ def queries() -> dict[str, Query]:
         "split_lines": lines_of,
         "read_corpus": corpus_source,
         "read_allowlist": allowlist_source,
+        "read_text_files": text_files,
+        "read_env_files": env_files,
+        "mapping_files": mapping_files,
+        "find_domains_sites": domains_of_sites,
+        "find_identifiers_hosts": identifiers_of_pages,
         "read_records": records_source,
         "write_redacted": written,
         "redact_stream_rows": stream_rows,
