@@ -104,3 +104,45 @@ def test_clashes_end_whatever_numbers_stand_there(spark, standing, scope):
     done = tickets().redact(df, scope=scope)
     assert all(r.reversible for r in done.mapping.collect())
     assert restore_join(done.documents, "text", done.mapping, tickets().detectors, ["doc_id"], scope).first().text == text
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """Many splits per file: numbers go on from split to split."""
+    from textveil.sources.readers import read_lines
+
+    texts = {f"{name}.txt": [f"{name}{i} " + "x" * (i % 50) + "\r" * (i % 2) for i in range(3_000)] for name in "ab"}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 6_000
+    for r in got:
+        assert texts[r.path.rsplit("/", 1)[1]][r.line_no] == r.line
+
+
+def test_constant_pseudonyms_can_be_unique(spark):
+    text = "due 2024-01-02 and due 2024-03-04, born on 01/02/1980 and born on 03/04/1981"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    engine = Veil(unique=True)
+    done = engine.redact(df)
+    assert all(r.reversible for r in done.mapping.collect())
+    assert "2024" not in done.documents.first().text
+    assert engine.restore(done.documents, done.mapping).first().text == text
+
+
+def test_strict_keywords_begin_a_word(spark):
+    df = spark.createDataFrame([(1, "heritage cat and tag ABC 123")], "doc_id int, text string")
+    loose, strict = Veil(detectors=by_name("plate_us")), Veil(detectors=by_name("plate_us"), strict=True)
+    assert len(loose.scan(df).first()["_spans_0"]) == 2
+    assert [s.value for s in strict.scan(df).first()["_spans_0"]] == ["ABC 123"]
+
+
+def test_streams_refuse_an_allowlist_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sdf = spark.readStream.schema("doc_id int, text string").json(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="allowlist"):
+        mails(allow=spark.createDataFrame([("a",)], "value string")).redact_rows(sdf)

@@ -182,15 +182,21 @@ class Scanner:
             + let("f", f"split(substring_index(p, '{CLOSE}', 1), '{SEP}', -1)", sizes) + " END)"
         )
         span = (
-            "named_struct('rank', x.rank, 'start', s.pos, 'end', s.pos + x.a + x.b + x.c,"
-            " 'v_start', s.pos + x.a, 'v_end', s.pos + x.a + x.b,"
-            " 'value', substring(_original, s.pos + x.a + 1, x.b))"
-        )
-        fold = (
-            f"aggregate({pieces}, named_struct('pos', 0, 'out', CAST(array() AS array<{SPAN}>)),"
-            f" (s, x) -> named_struct('pos', s.pos + x.a + x.b + x.c + x.gap, 'out',"
-            f" CASE WHEN x.rank < 0 THEN s.out ELSE concat(s.out, array({span})) END), s -> s.out)"
+            "named_struct('rank', x.rank, 'start', c.at + s, 'end', c.at + s + x.a + x.b + x.c,"
+            " 'v_start', c.at + s + x.a, 'v_end', c.at + s + x.a + x.b,"
+            " 'value', substring(c.cut, s + x.a + 1, x.b))"
         )
+        # about sqrt(n) runs of sqrt(n) pieces, each with its place and its part of the text:
+        # an array that grows, or a long text that is cut, n times would be quadratic
+        size = "(t, x) -> t + x.a + x.b + x.c + x.gap"
+        sums = (f"transform(sequence(0, CAST((size(ps) - 1) div w AS INT)), j ->"
+                f" aggregate(slice(ps, j * w + 1, w), 0, {size}))")
+        runs = "transform(rs, (r, j) -> " + let("b", "aggregate(slice(rs, 1, j), 0, (t, x) -> t + x)", (
+            "named_struct('at', b, 'cut', substring(_original, b + 1, r))")) + ")"
+        inside = f"aggregate(slice(ps, CAST(i - i % w AS INT) + 1, CAST(i % w AS INT)), 0, {size})"
+        placed = let("c", "cs[CAST(i div w AS INT)]", let("s", inside, span))
+        fold = let("ps", pieces, let("w", "CAST(ceil(sqrt(size(ps))) AS INT)", let("rs", sums, let("cs", runs, (
+            f"filter(transform(ps, (x, i) -> {placed}), x -> x.rank >= 0)")))))
         return (
             f"CASE WHEN {shadow} rlike '{RANKS}' THEN {fold}"
             f" ELSE CAST(array() AS array<{SPAN}>) END"
