@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textveil.operators.scan import Scanner, explode_spans
 from textveil.plans.engine import Veil
+from textveil.plans.storage import stage
 
 
 def verify_roundtrip(
@@ -17,17 +19,25 @@ def verify_roundtrip(
 ) -> DataFrame:
     """Keys whose text did not come back, or is missing on one side.
 
-    Digests are compared first, so that of the texts only those of failures are shuffled.
+    Counts of digests per key are compared, so keys may be null or repeat, and ``restored`` is
+    worked out once; texts are only read for keys that failed.
     """
-    def digest(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*key, F.coalesce(F.sha2(column, 256), F.lit("")).alias(side))
-
-    failed = digest(original, "_a").join(digest(restored, "_b"), list(key), "full_outer").where(
-        "_a IS NULL OR _b IS NULL OR _a <> _b").select(*key)
-    return (
-        failed.join(original.select(*key, F.col(column).alias("original")), list(key), "left")
-        .join(restored.select(*key, F.col(column).alias("restored")), list(key), "left")
-    )
+    def digests(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*key, F.coalesce(F.sha2(column, 256), F.lit("")).alias("_d"), F.lit(sign).alias("_n"))
+
+    both = digests(original, 1).union(digests(restored, -1))
+    failed = stage(both.groupBy(*key, "_d").agg(F.sum("_n").alias("_n")).where("_n <> 0").select(*key).distinct(),
+                   "failures")
+
+    def texts(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"_{side}_{k}") for k in key], F.col(column).alias(side))
+
+    def same(side: str):
+        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{side}_{k}")) for k in key])
+
+    found = failed.join(texts(original, "original"), same("original"), "left").join(
+        texts(restored, "restored"), same("restored"), "left").select(*key, "original", "restored")
+    return found.limit(0) if failed.isEmpty() else found
 
 
 def verify_no_leak(

@@ -67,17 +67,15 @@ def corpus_findings(spark: SparkSession, sf: str, resolve: bool = True) -> DataF
     return find_spans(documents(spark, sf), "text", THREE, resolve=resolve)
 
 
-def scoped(spark, sf, scope: str = "corpus") -> DataFrame:
-    found = corpus_findings(spark, sf)
-    if scope not in ("corpus", "document"):
-        found = found.join(table(spark, sf, "documents").select("doc_id", scope), "doc_id")
-    return mp.with_scope(found, scope, ["doc_id"])
+def scoped(spark, sf, scope: str = "corpus", only=None) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    carried = [] if scope in ("corpus", "document") else [scope]
+    docs = (docs if only is None else docs.where(only)).select("doc_id", "text", *carried)
+    return mp.with_scope(find_spans(docs, "text", THREE, ["doc_id", *carried], resolve=True), scope, ["doc_id"])
 
 
 def corpus_mapping(spark, sf, scope: str = "corpus", only=None, mapping=None) -> DataFrame:
-    found = scoped(spark, sf, scope)
-    if only is not None:
-        found = found.join(table(spark, sf, "documents").where(only).select("doc_id"), "doc_id")
+    found = scoped(spark, sf, scope, only)
     return mp.build_mapping(mp.distinct_values(found, ["doc_id"]), THREE, scope, mapping)
 
 
