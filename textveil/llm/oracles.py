@@ -43,6 +43,26 @@ SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
 FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
 """
 
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM w)
+  WHERE r > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new
+  FROM again),
+numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+run AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, k),
+cut AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run
+  UNION ALL SELECT d.doc_id, d.n, coalesce(max(b), 0) FROM d LEFT JOIN run USING (doc_id) GROUP BY d.doc_id, d.n),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS h
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs FROM run GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans,
+  sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
 OP4 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[a + 1:a + 5], ' ') AS g
@@ -78,5 +98,5 @@ FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN class ON class.line = l.line LEF
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vector_dedup": OP2, "op4_jaccard_join": OP4, "op5_decontaminate": OP5,
+    return {"op2_vector_dedup": OP2, "op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5,
             "op7_line_dedup": OP7}
