@@ -146,3 +146,10 @@ def test_streams_refuse_an_allowlist_table(spark, tmp_path):
     sdf = spark.readStream.schema("doc_id int, text string").json(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="allowlist"):
         mails(allow=spark.createDataFrame([("a",)], "value string")).redact_rows(sdf)
+
+
+def test_long_allowlists(spark):
+    allow = [f"user{i}@corp.com" for i in range(6_000)]
+    df = spark.createDataFrame([(1, "user5999@corp.com other@corp.com")], "doc_id int, text string")
+    text = mails(allow=allow).redact(df).documents.first().text
+    assert text.startswith("user5999@corp.com ") and "other@corp.com" not in text

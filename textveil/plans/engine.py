@@ -18,7 +18,7 @@ from textveil.functions.templates import is_constant, shapes, shorter
 from textveil.operators.mapping import build_mapping, distinct_values, document_scope, with_scope
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
 from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, redact_in_row
-from textveil.operators.scan import Scanner, explode_spans
+from textveil.operators.scan import INLINE_ALLOWLIST, Scanner, explode_spans
 from textveil.operators.skew import hot_keys, join_hot
 from textveil.plans.storage import ROW, stage, with_row
 
@@ -37,7 +37,7 @@ class Veil:
     """Pseudonymise text columns of any table, and restore them.
 
     groups      {"secrets" | "network" | "pii" | "aws" | "cloud" | "identifiers": bool}
-    allow       exact matches to leave alone: a short list, or a DataFrame(value)
+    allow       exact matches to leave alone: a list, or a DataFrame(value)
     words       the caller's own words (literal, case-insensitive)
     patterns    the caller's regexes, ahead of the built-in detectors
     packs       further catalogues, ahead of the built-in detectors
@@ -75,7 +75,7 @@ class Veil:
         ahead = [*custom_words(words), *patterns]
         ahead += [replace(d, priority=-5) for pack in packs for d in pack]
         self.detectors = ordered(ahead + enabled([*built_in, *extra], groups))
-        self.allow = allow
+        self.allow = allow if isinstance(allow, DataFrame) else frozenset(allow)
         self.names = {"given": tuple(given), "surnames": tuple(surnames)}
 
     def register(self, name: str, regex: str, template: str = "REDACTED_{name}_{n}",
@@ -97,26 +97,34 @@ class Veil:
         """``df`` plus, per text column i, ``_spans_i`` and ``_left_i`` (pseudonym-shaped
         tokens in text nobody claimed). Row by row, without a shuffle."""
         columns = _listed(columns)
-        if isinstance(self.allow, DataFrame):
-            return self._scan_allowing(df, columns, key)
+        allow = self._allow_table(df)
+        if allow is not None:
+            return self._scan_allowing(df, columns, allow)
         return self._scan(self._scanner(), df, columns)
 
+    def _allow_table(self, df: DataFrame) -> DataFrame | None:
+        """The allowlist as a table, if it is one or too long to stand in an expression."""
+        if isinstance(self.allow, DataFrame):
+            return self.allow
+        if len(self.allow) <= INLINE_ALLOWLIST:
+            return None
+        return df.sparkSession.createDataFrame([(x,) for x in sorted(self.allow)], "value string")
+
     def _scan(self, scanner: Scanner, df: DataFrame, columns: Sequence[str]) -> DataFrame:
         shape = java(shapes(d.template for d in self.detectors))
         for i, c in enumerate(columns):
             df = scanner.spans(df, c, f"_spans_{i}", shape, f"_left_{i}")
         return df
 
-    def _scan_allowing(self, df: DataFrame, columns: Sequence[str],
-                       key: Sequence[str]) -> DataFrame:
+    def _scan_allowing(self, df: DataFrame, columns: Sequence[str], allow: DataFrame) -> DataFrame:
         """Scan under an allowlist of any length.
 
         An allowed match frees its text for later detectors, so the list must act during
         the scan. It is narrowed per row: scan, join the matches to the list, scan again
         the few rows that hold an allowed match with just those, until no row does.
         """
-        scanner = self._scanner(allowed="_allowed")
-        allow = self.allow.select(F.col("value").alias("match")).distinct()
+        scanner = self._scanner(allowed="_allowed", allow=())
+        allow = allow.select(F.col("value").alias("match")).distinct()
         todo = with_row(df).withColumn("_allowed", F.array().cast("array<string>"))
         done: list[DataFrame] = []
         while True:
@@ -234,7 +242,7 @@ class Veil:
 
         Adds ``mapping``, the row's ``{pseudonym: value}``.
         """
-        if isinstance(self.allow, DataFrame) and df.isStreaming:
+        if df.isStreaming and self._allow_table(df) is not None:
             raise ValueError("an allowlist table needs batches: use start_redaction")
         scanned = self.scan(df, column)
         rows = redact_in_row(scanned, column, "_spans_0", self.detectors, "_left_0")
