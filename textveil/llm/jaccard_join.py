@@ -30,49 +30,51 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 STEP = 16            # signature values compared between two looks at the posterior
 TOLERANCE = 1e-6     # posterior below which a pair is dropped
+PIECE_BYTES = 1024 ** 2
 BUCKET_TILE = 512
 CLUSTER_TILE = 128
 COLUMNS_AT_ONCE = 16_384
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(20240)
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _MASKS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
-@lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    one = np.ones(1, np.uint64)
-    return (np.cumprod(np.r_[one, np.full(size, _BASE)], dtype=np.uint64),
-            np.cumprod(np.r_[one, np.full(size, _INVERSE)], dtype=np.uint64))
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def shingles(texts: list[list[bytes]], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word n-grams of each text, in a row, and how many each has.
 
-    A text with fewer words, but not none, has one shingle of all of them. A hash is that of
-    the bytes from the first word to the last, from prefix sums of a polynomial.
+    A text with fewer words, but not none, has one shingle of all of them. Words are hashed
+    as polynomials of their bytes, n-grams as polynomials of their words.
     """
     counts = np.array([len(w) for w in texts], np.int64)
     made = np.where(counts >= words, counts - words + 1, np.minimum(counts, 1))
     if not counts.sum():
         return np.empty(0, np.uint64), made
     data = np.frombuffer(b" ".join([b" ".join(w) for w in texts if w]) + b" ", np.uint8)
-    power, inverse = _powers(1 << int(len(data)).bit_length())
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:len(data)], out=prefix[1:])
     ends = np.flatnonzero(data == 32)
     starts = np.r_[0, ends[:-1] + 1]
+    sizes = ends - starts
+    place = np.arange(len(data)) - np.repeat(starts, sizes + 1)
+    power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(sizes.max(), _BASE, np.uint64)], dtype=np.uint64)
+    values = _BYTES[data]
+    values *= power[place]
+    word = _mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64))
     first = concat_ranges(np.cumsum(counts) - counts, made)
-    last = first + np.repeat(np.minimum(counts, words), made) - 1
-    a, b = starts[first], ends[last]
-    h = (prefix[b] - prefix[a]) * inverse[a]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h, made
+    many = np.repeat(np.minimum(counts, words), made)
+    h = many.astype(np.uint64)
+    for k in range(words):
+        there = many > k
+        h[there] += word[first[there] + k] * np.uint64(pow(_BASE, k + 1, 1 << 64))
+    return _mix(h), made
 
 
 def signatures(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def fewest_matches(threshold: float, tolerance: float, values: int) -> tuple[tup
 
 
 def _signed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in pieces(texts):
+    for column in pieces(texts, PIECE_BYTES):
         words = [words_of(t) for t in strings(column)]
         out: list[bytes | None] = [None] * len(words)
         full = [i for i, w in enumerate(words) if w]
@@ -170,8 +172,7 @@ def _cluster(threshold: float):
             nodes = tile.column("node").to_pylist()
             once = list({n: i for i, n in enumerate(nodes)}.values())  # a row stated twice
             tile = tile.take(pa.array(once))
-            hashes, made = shingles([words_of(t) for t in tile.column("text").to_pylist()])
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(made)[:-1])]
+            sets = [np.unique(shingles([words_of(t)])[0]) for t in tile.column("text").to_pylist()]
             shared = shared_shingles(sets)
             size = np.array([len(s) for s in sets])
             union = size[:, None] + size[None, :] - shared
