@@ -26,7 +26,7 @@ from textveil.llm.common import concat_ranges, pieces, strings, words_of
 
 WINDOW = 10
 SAMPLE = 8                    # one suffix position in so many is stored
-SHARD_BYTES = 16 * 1024 ** 2  # training text that one index covers
+SHARD_BYTES = 4 * 1024 ** 2  # training text that one index covers
 BLOCK_BYTES = 32 * 1024 ** 2  # benchmark text that is broadcast and searched at once
 
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
