@@ -133,9 +133,6 @@ def training_sample(
     return {k: v for k, v in sample.items() if v}
 
 
-_BUILT: dict[tuple, list[Parser]] = {}
-
-
 def language_of(sample: dict[str, bytes], text: Column | str) -> Column:
     """``struct(lang_pred, score, phrase_bytes)`` of a text column, from a training sample.
 
@@ -148,10 +145,7 @@ def language_of(sample: dict[str, bytes], text: Column | str) -> Column:
     content = tuple((n, sample[n]) for n in names)  # bounded by training_sample
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if content not in _BUILT:
-            _BUILT.clear()
-            _BUILT[content] = [Parser(data) for _, data in content]
-        parsers = _BUILT[content]
+        parsers = [Parser(data) for _, data in content]  # for one task: idle workers keep no tables
         for column in pieces(columns):
             texts = [letters(t) for t in strings(column)]
             size = np.array([len(t) for t in texts], np.int64)
