@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from textveil.llm.common import concat_ranges, groups_of
+from textveil.llm.common import concat_ranges
 
 LENGTH = 100
 GRAM = 32
 BLOCK_BYTES = 16 * 1024 ** 2
+TEXTS_AT_ONCE = 512 * 1024
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(31).integers(1, 1 << 63, 256, np.uint64)
@@ -80,14 +81,28 @@ def anchors(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int
 
 
 class Extensions:
-    """Rows of bytes (one direction away from an anchor), sorted within their groups."""
+    """Rows of bytes (one direction away from an anchor), sorted within their groups.
+
+    Equal rows of a group are found by their whole hashes and sorted as one.
+    """
 
     def __init__(self, rows: np.ndarray, sizes: np.ndarray, group: np.ndarray):
-        self.rows, self.sizes, self.group = rows, sizes, group
+        self.all_rows, self.all_sizes, self.all_group = rows, sizes, group
+        inside = np.arange(rows.shape[1]) < sizes[:, None]
         for base in _BASES:
-            self.order = self._sorted(base)
+            self.rows, self.sizes, self.group = rows, sizes, group
+            self._hash(base)
+            whole = self.prefix[np.arange(len(rows)), sizes] * np.uint64(base) + sizes.astype(np.uint64)
+            _, first, same = np.unique(mix(whole) * np.uint64(base) + group.astype(np.uint64),
+                                       return_index=True, return_inverse=True)
+            of = first[same]
+            if ((rows != rows[of]) & inside).any() or (sizes != sizes[of]).any() or (group != group[of]).any():
+                continue
+            self.rows, self.sizes, self.group, self.prefix = rows[first], sizes[first], group[first], self.prefix[first]
+            self.order = self._sorted()
             self.common = self._common(self.order[:-1], self.order[1:])
             if self._verified():
+                self.same = same
                 return
         raise ArithmeticError("prefix hashes collide under every base")
 
@@ -99,13 +114,20 @@ class Extensions:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common extension of rows a and b: binary search on prefix hashes."""
-        low = np.zeros(len(a), np.int64)
-        high = np.minimum(self.sizes[a], self.sizes[b])
-        while (low < high).any():
+        out = np.minimum(self.sizes[a], self.sizes[b])
+        out[self.group[a] != self.group[b]] = 0
+        # those that don't agree in all of the shorter row
+        live = np.flatnonzero(self.prefix[a, out] != self.prefix[b, out])
+        low, high = np.zeros(len(live), np.int64), out[live] - 1
+        while len(live):
             mid = (low + high + 1) >> 1
-            same = self.prefix[a, mid] == self.prefix[b, mid]
+            x, y = a[live], b[live]
+            same = self.prefix[x, mid] == self.prefix[y, mid]
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return np.where(self.group[a] == self.group[b], low, 0)
+            done = low >= high
+            out[live[done]] = low[done]
+            live, low, high = live[~done], low[~done], high[~done]
+        return out
 
     def _before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether row a sorts at or before row b."""
@@ -117,9 +139,8 @@ class Extensions:
         inside = np.where(ends_a, True, np.where(ends_b, False, smaller))
         return np.where(self.group[a] == self.group[b], inside, self.group[a] < self.group[b])
 
-    def _sorted(self, base: int) -> np.ndarray:
+    def _sorted(self) -> np.ndarray:
         """Bottom-up mergesort of all rows; every level merges all pairs of runs at once."""
-        self._hash(base)
         n = len(self.rows)
         order = np.argsort(self.group, kind="stable")  # groups differ from the first byte on
         size = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(self.group[order]) != 0]), n])
@@ -170,34 +191,35 @@ class Extensions:
         if len(out):
             out[self.order] = np.cumsum(np.r_[0, (self.common < least) | (
                 self.group[self.order[1:]] != self.group[self.order[:-1]])])
-        return out
+        return out[self.same]
 
 
 def repeated_windows(
-    group: np.ndarray, left: np.ndarray, right: np.ndarray, left_size: np.ndarray,
-    wanted: np.ndarray, order: np.ndarray,
+    group: np.ndarray, left: np.ndarray, right: np.ndarray, left_size: np.ndarray, right_size: np.ndarray,
+    wanted: np.ndarray, order: np.ndarray, length: int,
 ) -> np.ndarray:
     """Which wanted windows of anchors repeat a window of an earlier anchor.
 
-    ``left`` and ``right`` hold the bytes before an anchor (nearest first) and from it on.
-    ``wanted[i, l]`` says that the window from ``l`` bytes before anchor i on is looked at;
-    ``order`` ranks anchors from the earliest on.
+    ``left`` and ``right`` hold the bytes before an anchor (nearest first) and from it on, as
+    far as its windows reach. ``wanted[i, l]`` says that the window from ``l`` bytes before
+    anchor i on is looked at; ``order`` ranks anchors from the earliest on.
     """
     again = np.zeros_like(wanted)
     if not len(group):
         return again
-    length = right.shape[1]
-    after = Extensions(right, np.full(len(group), length), group)
-    before = Extensions(left, left_size, group)
+    by = np.argsort(order)
+    after = Extensions(right[by], right_size[by], group[by])
+    before = Extensions(left[by], left_size[by], group[by])
+    by_place = wanted[by]
     for l in range(wanted.shape[1]):
-        rows = np.flatnonzero(wanted[:, l])
+        rows = np.flatnonzero(by_place[:, l])
         if len(rows) < 2:
             continue
         # the bytes from the anchor on that the window holds, and the l before it
-        a, b = after.classes(length - l)[rows], before.classes(l)[rows]
-        by = np.lexsort((order[rows], b, a))
-        a, b = a[by], b[by]
-        again[rows[by[1:]], l] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        window = after.classes(length - l)[rows] * len(by) + before.classes(l)[rows]
+        sort = np.argsort(window, kind="stable")
+        window = window[sort]
+        again[by[rows[sort[1:]]], l] = window[1:] == window[:-1]
     return again
 
 
@@ -221,8 +243,16 @@ class Shard:
         self.sizes = np.array([len(r) for r in raw], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(raw), np.uint8)
-        self.hash, self.at, self.start, self.count = anchors(self.data, self.begins, self.sizes, length, gram)
-        self.owner = np.searchsorted(self.begins, self.at, "right") - 1
+        found = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4)]
+        low = 0
+        while low < len(raw):  # some texts at a time, so that the arrays of a step stay small
+            high = max(low + 1, int(np.searchsorted(self.begins, self.begins[low] + TEXTS_AT_ONCE)))
+            a, b = self.begins[low], self.begins[high - 1] + self.sizes[high - 1]
+            h, at, start, count = anchors(
+                self.data[a:b], self.begins[low:high] - a, self.sizes[low:high], length, gram)
+            found.append((h, at + a, start + a, count, np.searchsorted(self.begins[low:high] - a, at, "right") - 1 + low))
+            low = high
+        self.hash, self.at, self.start, self.count, self.owner = (np.concatenate(x) for x in zip(*found, strict=True))
         # equal begins belong to empty texts; the last one holds the bytes
 
 
@@ -287,7 +317,8 @@ def _settled(id_type: pa.DataType, length: int, gram: int):
             right, left, held = bytes_around(
                 shard.data, at[some], begin[some], begin[some] + shard.sizes[doc[some]], length, gram)
             order = ranks_of([ids[i] for i in some], ties[some], at[some])
-            repeated[some] = repeated_windows(group[some], left, right, held, wanted[some], order)
+            repeated[some] = repeated_windows(
+                group[some], left, right, held, np.full(len(some), length), wanted[some], order, length)
         parts.append(_window_runs(block, ids, ties, at - begin, repeated, id_type))
         open_ = wanted & ~repeated
         rest = np.flatnonzero(open_.any(1))
@@ -295,12 +326,15 @@ def _settled(id_type: pa.DataType, length: int, gram: int):
             some = rest[low:low + 20_000]
             right, left, held = bytes_around(
                 shard.data, at[some], begin[some], begin[some] + shard.sizes[doc[some]], length, gram)
+            # as far as the open windows reach
+            near = open_[some].argmax(1)
+            far = open_.shape[1] - 1 - open_[some][:, ::-1].argmax(1)
             parts.append(pa.table([
                 pa.array(anchor[some].view(np.int64)), pa.array(np.full(len(some), block), pa.int32()),
                 pa.array([ids[i] for i in some], id_type), pa.array(ties[some]),
                 pa.array((at - begin)[some].astype(np.int32)), pa.nulls(len(some), pa.int32()),
-                pa.array([x.tobytes() for x in right], pa.binary()),
-                pa.array([x[:n].tobytes() for x, n in zip(left, held, strict=True)], pa.binary()),
+                pa.array([x[:n].tobytes() for x, n in zip(right, (length - near).tolist(), strict=True)], pa.binary()),
+                pa.array([x[:n].tobytes() for x, n in zip(left, far.tolist(), strict=True)], pa.binary()),
                 pa.array([x.tobytes() for x in np.packbits(open_[some], axis=1)], pa.binary())],
                 names=["anchor", *_PLACE, "right", "left", "open"]))
         return pa.concat_tables(parts)
@@ -334,52 +368,68 @@ def _window_runs(block, ids, ties, at, flags, id_type) -> pa.Table:
     row, width = a // padded.shape[1], padded.shape[1]
     start = at[row] - (flags.shape[1] - (a - row * width))
     stop = start + (b - a)
+    ties = np.asarray(ties, np.int64)
+    if len(row):  # runs of neighbouring anchors of a text that touch are one
+        by = np.lexsort((start, ties[row]))
+        row, start, stop = row[by], start[by], stop[by]
+        new = np.r_[True, (start[1:] != stop[:-1]) | (ties[row[1:]] != ties[row[:-1]])]
+        new[1:] |= np.array([ids[x] != ids[y] for x, y in zip(row[1:].tolist(), row[:-1].tolist(), strict=True)], bool)
+        first = np.flatnonzero(new)
+        row, start, stop = row[first], start[first], stop[np.r_[first[1:] - 1, len(stop) - 1]]
     blocks = np.full(len(row), block) if np.isscalar(block) else np.asarray(block)[row]
     n = len(row)
-    spread = (np.asarray(ties)[row] ^ start) if n else np.empty(0, np.int64)  # these rows only pass through
+    spread = ties[row] ^ start if n else np.empty(0, np.int64)  # these rows only pass through
     return _rows([pa.table([
         pa.array(spread.astype(np.int64)), pa.array(blocks.astype(np.int32)),
-        pa.array([ids[i] for i in row.tolist()], id_type), pa.array(np.asarray(ties)[row].astype(np.int64)),
+        pa.array([ids[i] for i in row.tolist()], id_type), pa.array(ties[row]),
         pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)),
         *[pa.nulls(n, pa.binary()) for _ in range(3)]], names=["anchor", *_PLACE, "right", "left", "open"])], id_type)
 
 
+def _byte_rows(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binaries as rows of bytes, filled up with zeros, and their sizes."""
+    values = column.to_pylist()
+    size = np.array([len(x) for x in values], np.int64)
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in values]), np.uint8).reshape(-1, width), size
+
+
 def _matched(id_type: pa.DataType, length: int, gram: int, most: int = 20_000):
     """Windows of one anchor hash from all blocks; rows that are settled pass through."""
-
-    def settle(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
-        rows = pa.concat_tables(tables)
-        size = length - gram + 1
-        right = np.frombuffer(b"".join(rows.column("right").to_pylist()), np.uint8).reshape(-1, length)
-        lefts = rows.column("left").to_pylist()
-        held = np.array([len(x) for x in lefts], np.int64)
-        left = np.frombuffer(b"".join(x.ljust(size - 1, b"\0") for x in lefts), np.uint8).reshape(-1, size - 1)
+    width = length - gram + 1
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = rows.column("anchor").to_numpy()
+        group = np.cumsum(np.r_[False, keys[1:] != keys[:-1]])
+        several = np.bincount(group)[group] > 1  # the others stand in one block only
+        if not several.any():
+            return
+        rows, group = rows.filter(pa.array(several)), group[several]
+        right, ahead = _byte_rows(rows.column("right"), length)
+        left, behind = _byte_rows(rows.column("left"), width - 1)
         flags = np.unpackbits(np.frombuffer(b"".join(rows.column("open").to_pylist()), np.uint8).reshape(
-            len(left), -1), axis=1)[:, :size].astype(bool)
+            len(left), -1), axis=1)[:, :width].astype(bool)
         ids, ties = rows.column("id").to_pylist(), rows.column("tie").to_numpy()
         at = rows.column("start").to_numpy().astype(np.int64)
-        again = repeated_windows(group, left, right, held, flags, ranks_of(ids, ties, at))
+        again = repeated_windows(group, left, right, behind, ahead, flags, ranks_of(ids, ties, at), length)
         found = _window_runs(rows.column("block").to_numpy(), ids, ties, at, again, id_type)
         yield from found.select(_PLACE).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for table in groups_of(batches, "anchor"):
-            settled = table.column("right").is_null()
-            done = table.filter(settled)
+        held: pa.Table | None = None
+        for batch in batches:
+            settled = batch.column("right").is_null()
+            done = batch.filter(settled)
             if done.num_rows:
-                yield from done.select(_PLACE).to_batches()
-                table = table.filter(pa.compute.invert(settled))
-            if table.num_rows < 2:
-                continue
-            held.append(table)
-            size += table.num_rows
-            if size >= most:
-                yield from settle(held)
-                held, size = [], 0
-        if held:
-            yield from settle(held)
+                yield done.select(_PLACE)
+            open_ = pa.Table.from_batches([batch.filter(pa.compute.invert(settled))])
+            held = open_ if held is None else pa.concat_tables([held, open_])
+            keys = held.column("anchor").to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if held.num_rows >= most and len(cuts):  # the last group may go on
+                yield from settle(held.slice(0, int(cuts[-1])).combine_chunks())
+                held = held.slice(int(cuts[-1]))
+        if held is not None and held.num_rows:
+            yield from settle(held.combine_chunks())
 
     return run
 
