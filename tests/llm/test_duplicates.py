@@ -38,6 +38,13 @@ def test_repeated_strings(spark, docs, rows, length, gram):
         assert r.n_bytes == len(kept) + gone
 
 
+def test_a_string_that_repeats_in_one_text_only(spark):
+    one = "".join(chr(97 + i * i % 23) for i in range(40))
+    got = substring_dedup.remove_repeats(
+        spark.createDataFrame([(1, one + "-" + one), (2, "z" * 5)], "doc_id int, text string"), length=20, gram=8)
+    assert {r.doc_id: bytes(r.kept).decode() for r in got.collect()} == {1: one + "-", 2: "z" * 5}
+
+
 def test_repeats_of_random_texts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2_000)  # many blocks
     rng = random.Random(3)
@@ -192,3 +199,11 @@ def test_lines_are_taken_out(docs, rows, spark):
 def test_line_dedup_runs_no_python(docs):
     plan = line_dedup.linked_lines(line_dedup.lines_of(docs, "doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_lines_that_share_a_hash(spark):
+    first, other, near = "the same hash for two lines", "another line of text entirely", "the same hash for two lined"
+    lines = spark.createDataFrame([(1, first), (1, other), (2, near)], "h1 long, line string")
+    got = line_dedup.linked_lines(lines)
+    want = spark.createDataFrame([(first,), (near,)], "s string").selectExpr("xxhash64(1, s) AS h").collect()
+    assert [(r.a.h1, r.a.h2, r.b.h1, r.b.h2) for r in got.collect()] == [(1, want[0].h, 2, want[1].h)]

@@ -65,7 +65,16 @@ def test_ranks_with_gaps(spark, tmp_path):
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 301}
     path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
     codec = bpe.ByteBPE(bpe.load_ranks(str(path)), r"\S+|\s+")
-    assert codec.encode("abcab ab") == [301, 300, 32, 300]
+    assert codec.encode("abcab ab").tolist() == [301, 300, 32, 300]
+
+
+def test_words_are_forgotten_and_met_again(monkeypatch):
+    codec = bpe.ByteBPE(bpe.load_ranks(RANKS), P.PATTERN)
+    text = "one two three four five six seven eight nine ten unhyphenatedlongword"
+    want = codec.encode(text).tolist()
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    for _ in range(4):
+        assert codec.encode(text).tolist() == want and codec.encode("three other words")[0] > 0
 
 
 def test_query_digests(spark):

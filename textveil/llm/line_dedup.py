@@ -28,54 +28,47 @@ LETTERS = "etaoinshrdlucmfg"
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of sixteen letters modulo 16, four bits each."""
-    counts = [F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(15).cast("long"), 4 * k)
+    """Counts of sixteen letters modulo 4, two bits each."""
+    bytes_ = F.octet_length(line)  # the letters are single bytes
+    counts = [F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(3), 2 * k)
               for k, c in enumerate(LETTERS)]
     return reduce(lambda a, b: a.bitwiseOR(b), counts)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of how far two packed counts are apart."""
+    """A lower bound of how far the counts behind two packed ones are apart."""
     def one(k: int) -> Column:
-        x = F.shiftrightunsigned(a, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(15)
-        return F.least(x.bitwiseAND(15), (-x).bitwiseAND(15))
+        x = F.shiftrightunsigned(a, 2 * k).bitwiseAND(3) - F.shiftrightunsigned(b, 2 * k).bitwiseAND(3)
+        return F.least(x.bitwiseAND(3), (-x).bitwiseAND(3))
     return reduce(lambda p, q: p + q, [one(k) for k in range(len(LETTERS))])
 
 
-def segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment ``k`` of a line: even, the last ones longer."""
-    size = F.floor(length / parts).cast("int")
-    longer = F.greatest(F.lit(k) - parts + length % parts, F.lit(0))  # longer ones before it
-    own = size + F.when(F.lit(k) >= parts - length % parts, 1).otherwise(0)
-    return (size * k + longer + 1).cast("int"), own.cast("int")
+def places(edits: int) -> list[tuple[int, int, int]]:
+    """``(shorter, segment, shift)``: where segments of lines up to ``edits`` shorter can stand.
 
-
-def _key(line: Column, length: Column, k: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(k), F.substring(line, start, size))
-
-
-def index_keys(line: Column, edits: int) -> list[Column]:
-    length = F.length(line)
-    return [_key(line, length, k, *segment(length, k, edits + 1)) for k in range(edits + 1)]
+    With segment k the first that stands unchanged, at most k edits lie before it and at most
+    ``edits - k`` after it, which leaves few places to look at.
+    """
+    return [(shorter, k, shift) for shorter in range(edits + 1) for k in range(edits + 1)
+            for shift in range(max(-k, shorter - (edits - k)), min(k, shorter + (edits - k)) + 1)]
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Keys of the segments that lines up to ``edits`` shorter share with this one.
+def segment_keys(lines: DataFrame, looked_at: list[tuple[int, int, int]], edits: int, *keep: str) -> DataFrame:
+    """A row per line and place: ``key`` of the substring there as that segment, and ``keep``.
 
-    With segment k the first that stands unchanged, at most k edits lie before it and at most
-    ``edits - k`` after it, which leaves few places to look at.
+    Segments are even, the last ones a character longer. A place that is not in the line has
+    no row.
     """
-    keys, length = [], F.length(line)
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for k in range(edits + 1):
-            start, size = segment(other, k, edits + 1)
-            low = max(-k, shorter - (edits - k))
-            high = min(k, shorter + (edits - k))
-            for shift in range(low, high + 1):
-                inside = (start + shift >= 1) & (start + shift + size - 1 <= length)
-                keys.append(F.when(inside, _key(line, other, k, start + shift, size)))
-    return keys
+    parts = edits + 1
+    listed = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("skd", p, strict=True)]) for p in looked_at])
+    at = lines.select("line", *keep, F.length("line").alias("n"), F.explode(listed).alias("p")).select(
+        "line", *keep, "n", (F.col("n") - F.col("p.s")).alias("m"), "p.k", "p.d")
+    at = at.withColumns({"over": F.expr(f"m % {parts}"), "size": F.expr(f"m div {parts}").cast("int")})
+    at = at.withColumns({
+        "start": F.expr(f"k * size + greatest(k - {parts} + over, 0) + 1 + d"),
+        "len": F.expr(f"size + IF(k >= {parts} - over, 1, 0)")})
+    inside = at.where("start >= 1 AND start + len - 1 <= n")
+    return inside.select(F.expr("xxhash64(m, k, substring(line, start, len))").alias("key"), *keep)
 
 
 def _bound(value: Column, use) -> Column:
@@ -152,21 +145,29 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def linked_lines(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """``(a, b)``: each two different lines within ``edits`` edits once, as their two hashes."""
-    long = lines.where(F.length("line") >= shortest)
-    once = long.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    signed = once.select("h1", "line", letter_counts(F.col("line")).alias("letters"))
-    index = signed.select(F.explode(F.array(*index_keys(F.col("line"), edits))).alias("key"), "h1", "letters")
-    probe = signed.select(F.explode(F.filter(F.array(*probe_keys(F.col("line"), edits)), lambda k: k.isNotNull())).alias("key"),
-                          F.col("h1").alias("g1"), F.col("letters").alias("other"))
-    met = index.join(probe, (index["key"] == probe["key"]) & (F.col("h1") != F.col("g1"))
-                     & (counts_apart(F.col("letters"), F.col("other")) <= 2 * edits))
+    long = lines.where(F.length("line") >= shortest).select("h1", "line", letter_counts(F.col("line")).alias("letters"))
+    # one exchange of the texts serves the keys and both looks at them; should two lines share
+    # a hash, the smallest and the largest of them are both kept, without counts
+    same = long.groupBy("h1").agg(F.min("line").alias("x"), F.max("line").alias("y"), F.first("letters").alias("c"))
+    alone = F.col("x") == F.col("y")
+    signed = same.select(
+        "h1", F.explode(F.when(alone, F.array("x")).otherwise(F.array("x", "y"))).alias("line"),
+        F.when(alone, F.col("c")).alias("letters"))
+    index = segment_keys(signed, [(0, k, 0) for k in range(edits + 1)], edits, "h1", "letters")
+    probe = segment_keys(signed, places(edits), edits, "h1", "letters").select(
+        F.col("key").alias("probe"), F.col("h1").alias("g1"), F.col("letters").alias("other"))
+    near = F.coalesce(counts_apart(F.col("letters"), F.col("other")) <= 2 * edits, F.lit(True))
+    met = index.join(probe, (F.col("key") == F.col("probe")) & (F.col("h1") != F.col("g1")) & near)
     pairs = met.select(F.least("h1", "g1").alias("a1"), F.greatest("h1", "g1").alias("b1")).distinct()
-    one = once.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("x"))
-    two = once.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("y"))
-    texts = pairs.join(one, "a1").join(two, "b1")
-    near = texts.where(close_lines(F.col("x"), F.col("y"), edits))
-    return near.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"),
-                       F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
+    one, two = signed.toDF("a1", "x", "p"), signed.toDF("b1", "y", "q")
+    # the counts again, as they cost nothing and keep the exchange the same
+    again = F.coalesce(counts_apart(F.col("p"), F.col("q")) <= 2 * edits, F.lit(True))
+    close = pairs.join(one, "a1").join(two, "b1").where(again & close_lines(F.col("x"), F.col("y"), edits))
+
+    def node(h1: str, line: str) -> Column:
+        return F.struct(F.col(h1).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2"))
+
+    return close.select(node("a1", "x").alias("a"), node("b1", "y").alias("b"))
 
 
 def duplicate_lines(
@@ -186,8 +187,11 @@ def duplicate_lines(
     short = lines.select("id", "row", "line_no", "h1", "h2", (F.length("line") >= shortest).alias("long"))
     first = F.min(F.struct("id", "line_no", "row"))
     distinct = short.where("long").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
-    distinct = stage(distinct.withColumn("node", F.struct("h1", "h2")), "lines")
+    # lines that stand once and link with nothing are classes of their own and need no row
     both = links.union(links.select("b", "a"))
+    linked = both.select("a.h1", "a.h2").distinct().withColumn("linked", F.lit(True))
+    distinct = stage(distinct.join(linked, ["h1", "h2"], "left").where("copies > 1 OR linked").drop("linked"), "lines")
+    distinct = distinct.withColumn("node", F.struct("h1", "h2"))
     copies = distinct.select(F.col("node").alias("b"), "copies")
     direct = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("links")).withColumnRenamed("a", "node")
     reached = components(links, "a", "b")
