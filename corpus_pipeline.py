@@ -55,10 +55,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", "text", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("back"), "text")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.col("back") == F.col("text").cast("binary")).alias("round_trip"))
+    both = docs.select("doc_id", "text", codec.round_trip(F.col("text")).alias("r"))
+    return both.select("doc_id", F.size("r.ids").cast("long").alias("n_tokens"), "r.ids",
+                       (F.col("r.decoded") == F.col("text").cast("binary")).alias("round_trip"))
 
 
 STAGES = [

@@ -10,8 +10,8 @@ by the vocabulary's pattern and each is encoded on its own; decoding maps ids ba
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from textveil.llm.common import byte_characters, load_ranks, pieces, strings
 
-WORDS_KEPT = 150_000  # pre-tokens whose ids a worker remembers; only memory depends on it
+PIECE_BYTES = 2 * 1024 ** 2
+WORDS_KEPT = 250_000  # pre-tokens in each of the two generations that a worker remembers
 
 
 def _number(value: int) -> bytes:
@@ -82,23 +83,30 @@ class ByteBPE:
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        words, known = self.cut(text), self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = []
-        for w in set(words).difference(known):
-            data = w.encode("utf-8", "surrogatepass")
-            if data in self.ranks:  # a whole token needs no merging
-                known[w] = [self.ranks[data]]
-            else:
-                new.append((w, data.decode("latin-1").translate(self.to_text)))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before; words in use move on
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.cut(t) for t in texts]
+        if len(self.known) > WORDS_KEPT:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in set().union(*cut).difference(known):
+            ids = older.get(w)
+            if ids is None:
+                data = w.encode("utf-8", "surrogatepass")
+                if data not in self.ranks:
+                    new.append((w, data.decode("latin-1").translate(self.to_text)))
+                    continue
+                ids = array("i", [self.ranks[data]]).tobytes()  # a whole token needs no merging
+            known[w] = ids
         if new:
             for (w, _), ids in zip(new, self.model.encode([t for _, t in new], num_threads=1), strict=True):
-                known[w] = [i - 1 for i in ids]
-        return list(chain.from_iterable([known[w] for w in words]))
+                known[w] = array("i", [i - 1 for i in ids]).tobytes()
+        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.token[i] for i in ids])
@@ -132,10 +140,8 @@ class Codec:
         load = self._worker()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in pieces(columns):
-                rows = [np.array(load().encode(t), np.int32) for t in strings(column)]
-                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                yield pa.ListArray.from_arrays(ends, np.concatenate([*rows, np.empty(0, np.int32)]))
+            for column in pieces(columns, PIECE_BYTES):
+                yield _id_lists(load().encode_all(strings(column)))
 
         return F.arrow_udf(run, "array<int>")(text)
 
@@ -143,9 +149,32 @@ class Codec:
         load = self._worker()
 
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for column in pieces(columns):
-                flat, ends = column.flatten().to_numpy(), np.cumsum([len(x) if x.is_valid else 0 for x in column])
-                yield pa.array([load().decode(x.tolist()) for x in np.split(flat, ends[:-1])] if len(ends) else [],
-                               pa.binary())
+            for column in pieces(columns, PIECE_BYTES):
+                yield pa.array([load().decode(x) for x in _rows(column)], pa.binary())
 
         return F.arrow_udf(run, "binary")(ids)
+
+    def round_trip(self, text: Column | str) -> Column:
+        """``struct(ids, decoded)``: both at once, in one pass through a worker."""
+        load = self._worker()
+
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in pieces(columns, PIECE_BYTES):
+                ids = _id_lists(load().encode_all(strings(column)))
+                back = pa.array([load().decode(x) for x in _rows(ids)], pa.binary())
+                yield pa.StructArray.from_arrays([ids, back], ["ids", "decoded"])
+
+        return F.arrow_udf(run, "struct<ids: array<int>, decoded: binary>")(text)
+
+
+def _id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([*rows, np.empty(0, np.int32)]))
+
+
+def _rows(lists: pa.Array) -> Iterator[list[int]]:
+    """Lists of ids, row by row; null as empty."""
+    flat, at = lists.flatten().to_numpy(), 0
+    for size in lists.value_lengths().fill_null(0).to_pylist():
+        yield flat[at:at + size].tolist()
+        at += size

@@ -109,12 +109,11 @@ def op9_hmm(spark, sf):
 def op10_bpe(spark, sf):
     docs = table(spark, sf, "documents")
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", codec.encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", codec.decode(F.col("ids")).alias("back"))
+    both = docs.select("doc_id", codec.round_trip(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("back", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Query]:
