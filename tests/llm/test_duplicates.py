@@ -152,6 +152,22 @@ def test_recall_of_the_registered_query(spark):
     assert 0.9 * links <= found <= links
 
 
+@pytest.mark.parametrize(("groups", "share", "median"), [(1, 1 / 3, 0.957), (1, 1 / 3, 0.97), (1, 1 / 3, 0.99), (16, 1 / 16, 0.97)])
+def test_recall_in_large_groups_of_near_vectors(spark, groups, share, median):
+    rng, n, d = np.random.default_rng(4), 1500, 64
+    x = rng.normal(size=(n, d))
+    size = int(n * share)
+    for g in range(groups):
+        centre = rng.normal(size=d)
+        centre /= np.linalg.norm(centre)
+        x[g * size:(g + 1) * size] = centre + rng.normal(size=(size, d)) * np.sqrt((1 / median - 1) / d)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = int((x @ x.T >= 0.95).sum()) - n
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, e array<double>")
+    found = sum(r.n_links for r in vector_dedup.near_duplicates(table, "vec_id", "e").collect())
+    assert links > 40_000 and 0.99 * links <= found <= links
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -1,6 +1,7 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points (pivots) are a small sample of the vectors. A vector is described by its
+Reference points (pivots) are a small sample of the vectors, no two of them near each other, so
+that a large group of near vectors has one of them and not most. A vector is described by its
 nearest pivots in order; near vectors have nearly the same ones. Inverted lists are kept for
 every two pivots: a vector stands in the list of each two of its ``PREFIX`` nearest, so
 vectors that meet share two pivots at least. Inside a list shared pivots are counted, each
@@ -26,6 +27,8 @@ PIVOTS = 128     # sampled reference points of each dimension: the bound of what
 PREFIX = 6       # nearest pivots that describe a vector
 SHARED = 2       # pivots that candidates share
 TILE = 512
+SAMPLE = 4       # vectors looked at for each pivot
+APART = 0.7      # cosine at which two sampled vectors are too near to be both pivots
 DIMENSIONS = 64  # different vector lengths that get pivots of their own
 
 
@@ -43,17 +46,33 @@ def unit(rows: pa.Array) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, pivots: int) -> dict[int, np.ndarray]:
-    """Unit reference points per dimension: the vectors with the smallest hashes."""
+    """Unit reference points per dimension: of the vectors with the smallest hashes those apart.
+
+    Pivots inside a group of near vectors are all about as far from its members, whose order
+    of them would be chance. Random directions fill up what the sample leaves open.
+    """
     sizes = [r[0] for r in vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(DIMENSIONS + 1).collect()]
     if len(sizes) > DIMENSIONS:
         raise ValueError(f"vectors have more than {DIMENSIONS} different lengths")
     found = {}
     for d in sizes:
-        rows = vectors.where(F.col("dim") == d).orderBy("h1", "h2").limit(pivots).collect()
-        found[d] = unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64())))
+        rows = vectors.where(F.col("dim") == d).orderBy("h1", "h2").limit(SAMPLE * pivots).collect()
+        found[d] = spread(unit(pa.array([r["vector"] for r in rows], pa.list_(pa.float64()))), pivots)
     return found
 
 
+def spread(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """``pivots`` unit vectors: those of the sample that are ``APART``, then random directions."""
+    kept = np.random.default_rng(17).normal(size=(pivots, sample.shape[1]))
+    kept /= np.sqrt((kept * kept).sum(1, keepdims=True))
+    n = 0
+    for x in sample:
+        if n < pivots and (not n or (kept[:n] @ x).max() < APART):
+            kept[n] = x
+            n += 1
+    return kept
+
+
 def describe(vector: Column, dim: Column, pivots: dict[int, np.ndarray], prefix: int) -> Column:
     """The ``prefix`` nearest pivots, nearest first (the smaller number among equals)."""
 
