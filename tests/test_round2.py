@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textveil import Veil, by_name, custom_detector
 from textveil.functions.detectors import ordered
+from textveil.functions.words import GIVEN_NAMES, SURNAMES
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
 from textveil.streaming import stream
 
@@ -153,3 +154,13 @@ def test_long_allowlists(spark):
     df = spark.createDataFrame([(1, "user5999@corp.com other@corp.com")], "doc_id int, text string")
     text = mails(allow=allow).redact(df).documents.first().text
     assert text.startswith("user5999@corp.com ") and "other@corp.com" not in text
+
+
+def test_all_names_of_the_default_lists(spark):
+    assert len(set(GIVEN_NAMES)) == len(GIVEN_NAMES) >= 256 and len(set(SURNAMES)) == len(SURNAMES) >= 263
+    n = max(len(GIVEN_NAMES), len(SURNAMES))
+    names = [f"{GIVEN_NAMES[k % len(GIVEN_NAMES)]} {SURNAMES[k % len(SURNAMES)]}".title() for k in range(n)]
+    names += ["Abigail Aguilar", "Zoey Woods", "Alan Alvarado", "Skylar Williamson"]
+    df = spark.createDataFrame([(k, f"Patient: {x}, Abigail River.") for k, x in enumerate(names)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in Veil().redact_rows(df).collect()}
+    assert all(got[k] == "Patient: [PERSON_1], Abigail River." for k in range(len(names)))

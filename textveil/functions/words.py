@@ -248,8 +248,8 @@ FOREIGN_SECRET_WORDS = {
 
 # --- person names -----------------------------------------------------------
 
-# Common given names and surnames from public census rankings, most frequent first.
-# This is only the default of a parameter: pass your own lists for wider coverage.
+# Common given names and surnames from public census rankings, most frequent first, then the
+# others by the alphabet. The default of a parameter: pass your own lists for wider coverage.
 GIVEN_NAMES = """
 james mary robert patricia john jennifer michael linda david elizabeth william barbara richard
 susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty
@@ -260,6 +260,17 @@ eric angela jonathan anna stephen ruth larry brenda justin pamela scott nicole b
 benjamin samantha samuel christine gregory emma frank catherine alexander jane patrick olivia
 raymond rachel jack carolyn dennis janet jerry maria tyler heather aaron diane jose julie adam
 joyce henry victoria nathan kelly douglas christina peter grace zachary alice jordan
+abigail alan albert alexis alfred allison amber andrea annie antonio arthur audrey aurora austin
+ava beverly billy bobby brittany bruce bryan camila carl carlos charlotte cheryl chloe christian
+clarence claude clayton clifford clinton cody colin corey craig curtis dallas danielle dean
+debra derek diana dorothy dylan eleanor elena ella eugene evan evelyn faith frances gabriella
+gerald gilbert gloria gordon graham hannah harold harper harry hazel howard hunter isabella
+jacqueline janice jeremy jesse joan joel johnnie johnny juan judith julia keith kristin kyle
+lawrence layla leah liam lillian lily lloyd logan louis lucas lucy luna madison marilyn martha
+martin megan mia miguel natalie noah nora norman oliver oscar penelope philip ralph randy riley
+roger rosa rose roy russell sara scarlett sean simon skylar sophia stanley stella teresa terry
+theresa tiffany todd tommy tony travis victor vincent violet virginia walter warren wayne willie
+zoey
 """.split()
 
 SURNAMES = """
@@ -272,4 +283,16 @@ gutierrez ortiz morgan cooper peterson bailey reed kelly howard ramos kim cox wa
 watson brooks chavez wood james bennett gray mendoza ruiz hughes price alvarez castillo sanders
 patel myers long ross foster jimenez powell jenkins perry russell sullivan bell coleman butler
 henderson barnes fisher vasquez simmons romero jordan patterson alexander hamilton graham
+aguilar alvarado andrews armstrong arnold austin banks barnett barrett berry bishop black booth
+boyd bradley bryant burke burns burton carlson carpenter carr carroll castro chambers chapman
+chen cole crawford cunningham daniels dean delgado dixon dominguez duncan dunn elliott ellis
+espinoza ford fox franklin freeman fuller gardner garrett george gibson gilbert gordon grant
+graves griffin guerrero guzman hansen harper harrison hart harvey hayes henry herrera hicks
+hoffman holmes howell hudson hunt hunter jacobs jensen kennedy knight lane larson lawson li
+lucas lynch maldonado marquez marshall mason matthews mcdonald medina mendez meyer mills
+montgomery moreno morrison munoz murray nichols nunez obrien oliver olson ortega owens palmer
+park payne pena perkins peters pierce porter ray reid reynolds rice riley rios rose ryan salazar
+sandoval santiago santos schmidt shaw silva simpson sims singh snyder soto spencer stephens
+stone tran tucker valdez vargas vega wang warren weaver webb weber wells west williamson willis
+woods
 """.split()

@@ -17,6 +17,7 @@ from textveil import Veil, by_name, custom_detector, custom_pattern, detect_lang
 from textveil.functions.detectors import BUILT_IN, FAMILIES, foreign_secrets, ordered
 from textveil.functions.languages import keywords_for
 from textveil.functions.templates import render_pseudonym
+from textveil.functions.words import GIVEN_NAMES, SURNAMES
 from textveil.operators import audit, findings as fnd, mapping as mp
 from textveil.operators.env import redact_env, restore_env
 from textveil.operators.restore import restore_exact, restore_join, restore_nested, restored_count
@@ -157,10 +158,8 @@ def match_names(spark, sf):
     pairs = by_name("person_name")[0]
     candidates = find_spans(lines, "text", [custom_detector("pair", pairs.regex, "[PERSON_{n}]")],
                             ["line_id"]).select("line_id", "start", "value")
-    first = spark.createDataFrame([("john",), ("sarah",), ("emily",), ("robert",), ("jordan",)],
-                                  "name string")
-    last = spark.createDataFrame([("smith",), ("johnson",), ("davis",), ("wilson",)],
-                                 "name string")
+    first = spark.createDataFrame([(name,) for name in GIVEN_NAMES], "name string")
+    last = spark.createDataFrame([(name,) for name in SURNAMES], "name string")
     return fnd.match_names(candidates, first, last)
 
 
