@@ -8,6 +8,7 @@ from textveil.functions.detectors import ordered
 from textveil.functions.words import GIVEN_NAMES, SURNAMES
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
 from textveil.streaming import stream
+from workload import queries
 
 MAILS = ordered(by_name("email"))
 
@@ -164,3 +165,16 @@ def test_all_names_of_the_default_lists(spark):
     df = spark.createDataFrame([(k, f"Patient: {x}, Abigail River.") for k, x in enumerate(names)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in Veil().redact_rows(df).collect()}
     assert all(got[k] == "Patient: [PERSON_1], Abigail River." for k in range(len(names)))
+
+
+def test_text_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    sf, out = str(tmp_path / "sf"), str(tmp_path / "out")
+    rows = [(i, f"text {i}\nof " + "x" * 300, "en" if i % 3 else "de") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(queries, "FILE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(queries, "new_folder", lambda spark, name: out)
+    got = {r.doc_id: r for r in queries.text_files(spark, sf).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t.replace("\n", " ") for i, t, _ in rows}
+    assert all(r.same for r in got.values())
+    sizes = [p.stat().st_size for p in (tmp_path / "out").rglob("*.txt")]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * 10_000

@@ -470,11 +470,17 @@ def written(spark, sf):
     return spark.read.parquet(path)
 
 
+FILE_BYTES = 8 * 1024 ** 2  # of text, about, in a file of text_files
+
+
 def text_files(spark, sf):
-    """One file per language, whole and in numbered lines, against each other."""
+    """Files of bounded size per language, whole and in numbered lines, against each other."""
     path = new_folder(spark, "files")
-    (table(spark, sf, "documents").selectExpr("lang", "concat(doc_id, ' ', replace(text, '\\n', ' ')) AS value")
-     .repartition(1, "lang").sortWithinPartitions("lang", "value").write.partitionBy("lang").text(path))
+    docs = table(spark, sf, "documents").selectExpr(
+        "lang", "concat(doc_id, ' ', replace(text, '\\n', ' ')) AS value", "xxhash64(doc_id, text) AS h")
+    size = docs.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    (docs.repartitionByRange(-(-size // FILE_BYTES) or 1, "lang", "h").sortWithinPartitions("lang", "value")
+     .select("lang", "value").write.partitionBy("lang").text(path))
     whole = split_lines(read_corpus(spark, f"{path}/*/*.txt"), "path").where("line <> ''")
     lines = read_lines(spark, f"{path}/*/*.txt").withColumnRenamed("line", "again")
     both = whole.withColumn("line_no", F.col("line_no").cast("long")).join(lines, ["path", "line_no"], "full")
