@@ -202,6 +202,36 @@ def test_lines_within_edits(spark, most):
         p: (sum(a == p for a, _ in links), low[p], low[p] == p) for p in places}
 
 
+@pytest.mark.parametrize("most", [2, 3])
+def test_short_lines_with_fewer_edits(spark, most):
+    rng = random.Random(most)
+    lines = ["", "", "Les.", "Les.", "Les!", "a", "a", " ", " "]
+    for n in range(2, 26):
+        line = "".join(rng.choice("abcé ") for _ in range(n))
+        lines += [line, line]
+        for _ in range(4):
+            chars = list(line)
+            for _ in range(rng.randint(1, most)):
+                at = rng.randrange(len(chars) + 1)
+                chars[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+            lines.append("".join(chars))
+    rows = [(i, "\n".join(lines[i::10])) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {(i, k): line for i, t in rows for k, line in enumerate(t.split("\n"))}
+
+    def linked(x, y):
+        n = min(len(x), len(y))
+        return n and edits(x, y) <= min(most, n * most // 20)
+
+    links = [(a, b) for a in text for b in text if a != b and linked(text[a], text[b])]
+    low = classes(list(text), links)
+    got = line_dedup.duplicate_lines(table, edits=most, short=True).collect()
+    assert {(r.doc_id, r.line_no): (r.n_links, (r.class_key, r.class_line), r.kept) for r in got} == {
+        p: (sum(a == p for a, _ in links), low[p], low[p] == p) for p in text}
+    left = {r.doc_id: r.text for r in line_dedup.without_duplicate_lines(table, edits=most).collect()}
+    assert left == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
+
+
 def test_lines_are_taken_out(docs, rows, spark):
     left = line_dedup.without_duplicate_lines(docs)
     assert left.columns == docs.columns and left.count() == len(rows)

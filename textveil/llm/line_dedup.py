@@ -21,7 +21,7 @@ from textveil.llm.graph import components
 from textveil.plans.storage import stage
 
 EDITS = 2
-SHORTEST = 20  # characters below which a line is left alone
+SHORTEST = 20  # characters below which a line is left alone, or allows fewer edits
 
 # Fixed value: letters whose counts are compared. Any choice is right; frequent ones tell most.
 LETTERS = "etaoinshrdlucmfg"
@@ -143,9 +143,16 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def linked_lines(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """``(a, b)``: each two different lines within ``edits`` edits once, as their two hashes."""
-    long = lines.where(F.length("line") >= shortest).select("h1", "line", letter_counts(F.col("line")).alias("letters"))
+def linked_lines(
+    lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, below: int | None = None,
+) -> DataFrame:
+    """``(a, b)``: each two different lines within ``edits`` edits once, as their two hashes.
+
+    The shorter one has ``shortest`` characters at least and fewer than ``below``.
+    """
+    size = F.length("line")
+    some = size >= shortest if below is None else (size >= shortest) & (size < below + edits)
+    long = lines.where(some).select("h1", "line", letter_counts(F.col("line")).alias("letters"))
     # one exchange of the texts serves the keys and both looks at them; should two lines share
     # a hash, the smallest and the largest of them are both kept, without counts
     same = long.groupBy("h1").agg(F.min("line").alias("x"), F.max("line").alias("y"), F.first("letters").alias("c"))
@@ -163,6 +170,8 @@ def linked_lines(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     # the counts again, as they cost nothing and keep the exchange the same
     again = F.coalesce(counts_apart(F.col("p"), F.col("q")) <= 2 * edits, F.lit(True))
     close = pairs.join(one, "a1").join(two, "b1").where(again & close_lines(F.col("x"), F.col("y"), edits))
+    if below is not None:
+        close = close.where(F.least(F.length("x"), F.length("y")) < below)
 
     def node(h1: str, line: str) -> Column:
         return F.struct(F.col(h1).alias("h1"), F.xxhash64(F.lit(1), F.col(line)).alias("h2"))
@@ -170,23 +179,40 @@ def linked_lines(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST)
     return close.select(node("a1", "x").alias("a"), node("b1", "y").alias("b"))
 
 
+def short_links(lines: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame | None:
+    """Links of lines under ``shortest`` characters, which allow fewer edits the shorter they are.
+
+    A line of ``n`` characters allows ``n * edits // shortest`` (with 2 and 20: one from 10 on).
+    """
+    steps = [max(allowed + 1, -(-shortest * allowed // edits)) for allowed in range(1, edits)] + [shortest]
+    found = [linked_lines(lines, allowed, low, high)
+             for allowed, (low, high) in enumerate(zip(steps, steps[1:], strict=False), 1) if low < high]
+    return reduce(DataFrame.union, found) if found else None
+
+
 def duplicate_lines(
     df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST,
+    short: bool = False,
 ) -> DataFrame:
     """``(key, row, line_no, n_links, class_key, class_line, kept)``: one row per line.
 
     Lines end at ``\\n`` and count from 0; a null or empty text is one empty line. ``n_links``
     counts the other lines within ``edits`` edits, copies included; a class is what links
     reach, named after its first line (by key, null first, then line), which alone is kept.
-    Lines of fewer than ``shortest`` characters link with nothing and are kept. Rows that
-    repeat key and text are one document stated several times and agree in all columns. An
-    empty table gives an empty result.
+    Lines of fewer than ``shortest`` characters link with nothing and are kept; with ``short``
+    only empty ones do, and the others link with their copies and as in :func:`short_links`.
+    Rows that repeat key and text are one document stated several times and agree in all
+    columns. An empty table gives an empty result.
     """
     lines = lines_of(df, key, text)
-    links = stage(linked_lines(lines.select("line", "h1", "h2"), edits, shortest), "line-links")
-    short = lines.select("id", "row", "line_no", "h1", "h2", (F.length("line") >= shortest).alias("long"))
+    different = lines.select("line", "h1", "h2")
+    links = linked_lines(different, edits, shortest)
+    more = short_links(different, edits, shortest) if short else None
+    links = stage(links if more is None else links.union(more), "line-links")
+    least = 1 if short else shortest
+    stands = lines.select("id", "row", "line_no", "h1", "h2", (F.length("line") >= least).alias("long"))
     first = F.min(F.struct("id", "line_no", "row"))
-    distinct = short.where("long").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
+    distinct = stands.where("long").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), first.alias("first"))
     # lines that stand once and link with nothing are classes of their own and need no row
     both = links.union(links.select("b", "a"))
     linked = both.select("a.h1", "a.h2").distinct().withColumn("linked", F.lit(True))
@@ -200,7 +226,7 @@ def duplicate_lines(
     own = own.join(named, "component", "left").select(
         "h1", "h2", F.lit(True).alias("long"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("earliest", "first").alias("c"))
-    joined = short.join(own, ["h1", "h2", "long"], "left")
+    joined = stands.join(own, ["h1", "h2", "long"], "left")
     alone = F.struct("id", "line_no", "row")
     c = F.coalesce("c", alone)
     return joined.select(
@@ -211,13 +237,14 @@ def duplicate_lines(
 
 def without_duplicate_lines(
     df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST,
+    short: bool = True,
 ) -> DataFrame:
     """``df`` with repeated lines taken out of ``text``; texts without any stay as they are.
 
     Rows keep their number and columns. The removed line numbers of a text are gathered, at
     most as many as it has lines, and joined to the row.
     """
-    found = duplicate_lines(df.select(key, text), key, text, edits, shortest)
+    found = duplicate_lines(df.select(key, text), key, text, edits, shortest, short)
     gone = found.where("NOT kept").groupBy("row").agg(F.collect_set("line_no").alias("gone"))
     packed = df.select(F.struct("*").alias("r"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row"))
     lines = F.split(F.col(f"r.{text}"), "\n", -1)
