@@ -97,6 +97,45 @@ FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN class ON class.line = l.line LEF
 """
 
 
+OP12 = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT doc_id, t, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b,
+  CAST('0x' || x[17:24] AS BIGINT) % 100 AS c, CAST('0x' || x[25:32] AS BIGINT) % 100 AS d FROM h),
+f AS (SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) AS q,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+    WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substring(t, 1, p) || '<S>' || substring(t, q + 1) || '<M>' || substring(t, p + 1, q - p)
+    ELSE '<S>' || substring(t, q + 1) || '<P>' || substring(t, 1, p) || '<M>' || substring(t, p + 1, q - p) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+def op13(rounds: int = 10) -> str:
+    """The rounds one after the other; all distances in full."""
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+             """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x
+  FROM v ORDER BY c LIMIT 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v.x, min({{'d': list_sum(list_transform(list_zip(v.x, k.x),
+    lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': k.c}}) AS m FROM v, c{i} k GROUP BY r, vec_id, v.x)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT m.c AS c, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, range(1, 65) r(j) GROUP BY ALL)""")
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT k.c, coalesce(n.x, k.x) AS x FROM c{i} k LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM s{i} GROUP BY c) n ON n.c = k.c)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(m.c AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} k ON k.c = m.c"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op2_vector_dedup": OP2, "op3_substring_dedup": OP3, "op4_jaccard_join": OP4, "op5_decontaminate": OP5,
-            "op7_line_dedup": OP7}
+            "op7_line_dedup": OP7, "op12_fill_in_middle": OP12, "op13_centroids": op13()}

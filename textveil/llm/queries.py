@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm import (
-    bpe, common, decontaminate, hmm, jaccard_join, language_id, line_dedup, sharding, substring_dedup,
-    token_counts, vector_dedup,
+    bpe, centroids, common, decontaminate, fill_in_middle, hmm, jaccard_join, language_id, line_dedup, personal_data,
+    sharding, substring_dedup, token_counts, vector_dedup,
 )
 from textveil.plans.storage import stage
 
@@ -116,6 +116,36 @@ def op10_bpe(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_personal_data(spark, sf):
+    """The four counts are those of the patterns; ``spans`` holds those of the field too."""
+    found = personal_data.find_personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    found = found.withColumn("of_pattern", F.filter("spans", lambda s: s["base"]))
+
+    def count(kind):
+        return F.size(F.filter("of_pattern", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "row.doc_id", *map(count, personal_data.BASE), F.sha2(written("of_pattern").cast("binary"), 256).alias("base_sha256"),
+        written("spans").alias("spans"))
+
+
+def op12_fill_in_middle(spark, sf):
+    found = fill_in_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_centroids(spark, sf):
+    found = centroids.cluster_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -128,4 +158,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_hmm": op9_hmm,
         "op10_bpe": op10_bpe,
+        "op11_personal_data": op11_personal_data,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_centroids": op13_centroids,
     }
