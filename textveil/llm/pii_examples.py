@@ -64,11 +64,13 @@ def _prose(rng: random.Random, least: int = 8, most: int = 70) -> str:
     sounds = "an be co dé er für ga hin ió jo kel la mé no ous per qui re sta to un ver wi xa yo ñe ße at dot com".split()
     words: list[str] = []
     plain = rng.random() < 0.6  # no marks at all
+    glued = rng.choice([[""], [""], ["", "", "s", str(rng.randint(0, 99))]])
     repeats = rng.choice([[1], [1] * 20 + [12], [1, 5, 9]])
     for _ in range(rng.randint(least, most)):
         word = "".join(rng.choice(sounds) for _ in range(rng.randint(1, 4)))
         word = rng.choice([word] * 12 + [word.capitalize()] * 3 + [word.upper(), str(rng.randint(0, 10 ** rng.randint(1, 17))), "at", "the", "de", "la",
                            *"it is or to of in un es su we on as".split()])
+        word += rng.choice(glued)
         mark = "" if plain else rng.choice([""] * 12 + [",", ",", ".", ".", ":", ";", " |", "###", "%%%", "***", "!!", "-"])
         words += [word + mark] * rng.choice(repeats)
     return " ".join(words)
@@ -78,7 +80,7 @@ def examples(seed: int = 1, rounds: int = 12) -> list[tuple[str, list[tuple[str,
     """``(text, [(kind, start, end)])``: every sentence ``rounds`` times with values of its own, often amid prose, and lines of prose."""
     rng = random.Random(seed)
     makers = {"name": _name, "phone": _phone, "email": _email}
-    rows = [(text, []) for text in CLEAN] + [(_prose(rng), []) for _ in range(12 * rounds)]
+    rows = [(text, []) for text in CLEAN] + [(_prose(rng), []) for _ in range(20 * rounds)]
     for sentence in LABELLED:
         for _ in range(rounds):
             text, spans = rng.choice(["", "", _prose(rng, 1, 5) + " "]), []
