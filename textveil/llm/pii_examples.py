@@ -76,7 +76,7 @@ def _prose(rng: random.Random, least: int = 8, most: int = 70) -> str:
     return " ".join(words)
 
 
-def examples(seed: int = 1, rounds: int = 12) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(seed: int = 1, rounds: int = 16) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """``(text, [(kind, start, end)])``: every sentence ``rounds`` times with values of its own, often amid prose, and lines of prose."""
     rng = random.Random(seed)
     makers = {"name": _name, "phone": _phone, "email": _email}
