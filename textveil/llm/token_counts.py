@@ -26,7 +26,9 @@ from textveil.llm.common import byte_characters, pieces, strings
 
 # Fixed value: how byte-level vocabularies of this kind cut texts before merging.
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORDS_KEPT = 800_000  # pre-tokens whose counts a worker remembers; only memory depends on it
+KEPT_BYTES = 160 * 1024 ** 2  # of pre-tokens and their counts that a worker remembers, about
+PAIRS_KEPT = 1_000_000        # pairs of tokens of which a worker remembers whether they stay
+LONG = 64                     # bytes from which a pre-token's short tokens are tried first
 
 
 class PrefixCounter:
@@ -48,9 +50,10 @@ class PrefixCounter:
         self.tokens = {raw(t) for t in spec["model"]["vocab"] if t not in special}
         self.longest = max(map(len, self.tokens))
         self.cut = regex.compile(PRE_TOKEN).findall
-        self.runs = regex.compile(r"\s{2,}(?=\S)")
+        self.runs = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")  # each run is looked at once
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.kept = 0
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank and leftmost first; for single tokens and pairs."""
@@ -68,6 +71,8 @@ class PrefixCounter:
         pair = (before, token)
         found = self.pairs.get(pair)
         if found is None:
+            if len(self.pairs) >= PAIRS_KEPT:
+                self.pairs.clear()
             found = self.pairs[pair] = self.merge(before + token) == ([before, token] if before else [token])
         return found
 
@@ -77,7 +82,9 @@ class PrefixCounter:
         n, tokens, fits = len(data), self.tokens, self.fits
         last, count = [b""] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            # one token at most fits, whatever the order
+            starts = range(max(0, i - self.longest), i)
+            for j in starts if n < LONG else reversed(starts):
                 token = data[j:i]
                 if token in tokens and fits(last[j], token):
                     last[i], count[i] = token, count[j] + 1
@@ -86,13 +93,18 @@ class PrefixCounter:
             count[2] = 2
         return array("h", [b - a for a, b in zip(count, count[1:], strict=False)]).tobytes()
 
+    def _learn(self, word: str) -> None:
+        self.known[word] = steps = self.steps(word)
+        self.kept += 180 + 4 * len(steps)
+
     def plain(self, text: str) -> np.ndarray:
         """Counts at every byte of a text without special tokens; the first is that of ''."""
+        if self.kept > KEPT_BYTES:
+            self.known.clear()
+            self.kept = 0
         known, words = self.known, self.cut(text)
-        if len(known) > WORDS_KEPT:
-            known.clear()
         for w in set(words).difference(known):
-            known[w] = self.steps(w)
+            self._learn(w)
         changes = np.frombuffer(b"".join([known[w] for w in words]), np.int16)
         counts = np.zeros(len(changes) + 1, np.int64)
         np.cumsum(changes, out=counts[1:])
@@ -102,7 +114,9 @@ class PrefixCounter:
             at += len(text[seen:m.start()].encode("utf-8", "surrogatepass"))
             run = m.group()
             size = len(run.encode("utf-8", "surrogatepass"))
-            counts[at + size] = counts[at] + sum(np.frombuffer(self.steps(run), np.int16))
+            if run not in known:
+                self._learn(run)
+            counts[at + size] = counts[at] + np.frombuffer(known[run], np.int16).sum(dtype=np.int64)
             at, seen = at + size, m.end()
         return counts
 
