@@ -13,15 +13,15 @@ in blocks of ``BLOCK`` bytes that are walked side by side; a phrase ends at its
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import concat_ranges, pieces, strings
+from textveil.llm.common import concat_ranges, give_back, pieces, strings
 
 UNKNOWN = "und"
 BLOCK = 1024
@@ -29,11 +29,12 @@ SAMPLE_BYTES = 24_000   # labelled text per language that an automaton is built
 SAMPLE_TEXTS = 64       # hash buckets per language that a labelled text is drawn from
 MAX_LANGUAGES = 1_000
 
-_OTHER = re.compile(r"[\W\d_]+")
+# what is no letter, and marks that stand on none
+_OTHER = regex.compile(r"(?:^\p{M}+|[^\p{L}\p{M}]\p{M}*+)++")
 
 
 def letters(text: str) -> bytes:
-    """Lower-case letters with single blanks between runs; empty if there is no letter."""
+    """Lower-case letters and their marks, single blanks between runs; empty if there is no letter."""
     return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
@@ -173,6 +174,8 @@ def language_of(sample: dict[str, bytes], text: Column | str) -> Column:
             yield pa.StructArray.from_arrays(
                 [pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.float64())],
                 ["lang_pred", "score", "phrase_bytes"])
+        del parsers
+        give_back()
 
     kind = "struct<lang_pred: string, score: double, phrase_bytes: double>"
     return F.arrow_udf(run, kind)(text)
