@@ -66,8 +66,7 @@ def mapping_shape(mapping: DataFrame) -> str | None:
 
 def small_mapping(mapping: DataFrame, limit: int = INLINE_ENTRIES) -> Column | None:
     """The mapping as one constant array, or None if it has more than ``limit`` rows."""
-    rows = (mapping.where("reversible").groupBy("pseudonym").agg(F.min("value").alias("value"))
-            .limit(limit + 1).collect())
+    rows = unambiguous(mapping.withColumn("scope", F.lit(""))).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
     listed = sorted(((r.pseudonym, r.value) for r in rows), key=lambda e: (-len(e[0]), e[0]))
@@ -79,14 +78,21 @@ def restore_exact(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Restore pseudonyms of any shape, without knowing the detectors or scopes.
 
     Tokens are cut by the shapes of the mapping itself and joined to it, so it can be of any
-    size. If scopes give a pseudonym different values, the smallest value counts.
+    size. A pseudonym to which scopes give different values is left as it is.
     """
     shape = mapping_shape(mapping)
     if shape is None:
         return df
-    flat = mapping.where("reversible").groupBy("pseudonym").agg(F.min("value").alias("value")).select(
-        F.lit("").alias("scope"), "pseudonym", "value", F.lit(True).alias("reversible"))
-    return _restored(df, column, flat, shape, F.lit(""))
+    return _restored(df, column, mapping.withColumn("scope", F.lit("")), shape, F.lit(""))
+
+
+def unambiguous(mapping: DataFrame) -> DataFrame:
+    """``(scope, pseudonym, value)`` once each, where a pseudonym stands for one value of its scope."""
+    known = mapping.where("reversible").select("scope", "pseudonym", "value")
+    digest = F.xxhash64("value")  # minima of numbers are hash aggregates, those of strings sort
+    several = (known.groupBy("scope", "pseudonym").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+               .where("a <> b").select("scope", "pseudonym"))
+    return known.distinct().join(several, ["scope", "pseudonym"], "left_anti")
 
 
 def scan_tokens(df: DataFrame, column: str, shape: str) -> DataFrame:
@@ -113,10 +119,11 @@ def join_tokens(tokens: DataFrame, mapping: DataFrame) -> DataFrame:
 
     A token that is not in the mapping may be a pseudonym with digits of the text behind
     it; then the longest of its shorter readings counts. Those are few, so only they are
-    multiplied. Frequent tokens are spread over salts.
+    multiplied. Frequent tokens are spread over salts. A token to which its scope gives two
+    values is left alone.
     """
     on = ["_scope", "pseudonym"]
-    known = mapping.where("reversible").select(
+    known = unambiguous(mapping).select(
         F.col("scope").alias("_scope"), "pseudonym", F.col("value").alias("_value"))
     counts = stage(tokens.groupBy(*on).agg(F.count(F.lit(1)).alias("uses")), "counts")
     hot = hot_keys(counts, on, counts.agg(F.sum("uses")).first()[0] or 0)

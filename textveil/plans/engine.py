@@ -181,7 +181,8 @@ class Veil:
         texts redacted earlier, which no new value may be given.
 
         Keys may be null or repeat: rows are told apart by an id of their own, and a null
-        scope is a scope like any other.
+        scope is a scope like any other. Rows that share a key are one document, with one
+        numbering; only where no key repeats is it made inside the row.
 
         Detection runs once and is written to the shared folder; after that only documents
         with findings are shuffled, and clean ones pass through.
@@ -189,17 +190,21 @@ class Veil:
         columns, key = _listed(columns), _listed(key)
         order = df.columns
         scanned = stage_scanned(self.scan(df, columns, key), columns)
-        if scope == "document" and mapping is None and len(columns) == 1:
+        alone = scope == "document" and _unique(scanned.where("_dirty"), key)
+        if alone and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
         return self.redact_scanned(scanned, columns, key, order, scope, mapping, whole,
-                                   leftovers)
+                                   leftovers, alone)
 
     def redact_scanned(
         self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
         order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
-        whole: bool = True, leftovers: DataFrame | None = None,
+        whole: bool = True, leftovers: DataFrame | None = None, small_scopes: bool = False,
     ) -> Redaction:
-        """Number, render and rewrite a table from :func:`stage_scanned`."""
+        """Number, render and rewrite a table from :func:`stage_scanned`.
+
+        ``small_scopes`` says that a scope is one row, so that a window may number it.
+        """
         keep = [] if scope in ("corpus", "document") else [scope]
         keep = [c for c in keep if c not in key]
         dirty = scanned.where("_dirty")
@@ -214,7 +219,7 @@ class Veil:
             F.expr(f"explode(concat(array(token), {shorter('token')})) AS token")).distinct()
         taken = leftover if leftovers is None else leftover.union(leftovers.select("token")).distinct()
         table = stage(
-            build_mapping(values, self.detectors, scope, mapping, taken, whole), "mapping")
+            build_mapping(values, self.detectors, scope if small_scopes else "corpus", mapping, taken, whole), "mapping")
         total = values.agg(F.sum("uses")).first()[0] or 0
         hot = hot_keys(values, ["scope", "value"], total)
         named = join_hot(
@@ -270,6 +275,11 @@ def _listed(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+def _unique(df: DataFrame, key: Sequence[str]) -> bool:
+    """Does no key repeat? Only keys are counted, before and after one exchange."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+
+
 def stage_scanned(scanned: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Write a scanned table, rows with findings (``_dirty``) apart from clean ones,
     with an id of each row."""
