@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.operators.dictionary import find_words
 from textveil.operators.scan import Scanner, explode_spans
 from textveil.plans.engine import Veil
 from textveil.plans.storage import stage
@@ -55,6 +56,19 @@ def verify_no_leak(
     return found.join(mapping.select("value").distinct(), "value", "left_semi")
 
 
+def verify_no_originals(
+    redacted: DataFrame, mapping: DataFrame, key: Sequence[str] = ("doc_id",), column: str = "text",
+) -> DataFrame:
+    """Originals of the mapping that still stand in a text, as strings: ``(key, value, start)``.
+
+    Knows nothing of detectors, so it also sees originals in places where none would look.
+    Every occurrence of every value counts, in whatever scope it was numbered; short values
+    (an age, a gender) are found wherever their characters stand.
+    """
+    found = find_words(redacted, column, mapping.select("value"), key, ignore_case=False)
+    return found.select(*key, "value", "start")
+
+
 def verify_idempotent(
     df: DataFrame, engine: Veil, column: str = "text", key: Sequence[str] = ("doc_id",),
 ) -> DataFrame:

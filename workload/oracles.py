@@ -243,7 +243,8 @@ def oracle_sql() -> dict[str, str]:
     out["find_plates"] = f"SELECT doc_id, start, v_start, value FROM ({matches('documents', 'doc_id', 'text', plate, 2)})"
     strict = plate.replace("(?i)((?:", r"(?i)((?:^|[^\pL\pN_])(?:")
     out["find_plates_strict"] = f"SELECT doc_id, v_start, value FROM ({matches('documents', 'doc_id', 'text', strict, 2)})"
-    for name in ("redact_null_key", "redact_duplicate_key", "redact_null_scope"):
+    for name in ("redact_null_key", "redact_duplicate_key", "redact_null_scope", "redact_duplicate_key_document",
+                 "redact_null_key_document"):
         out[name] = 'SELECT doc_id AS id, text, CAST(0 AS BIGINT) AS "left" FROM documents'
     out["restore_unique"] = """
       SELECT o_orderkey AS doc_id, concat('due ', CAST(o_orderdate AS DATE), ' born on 0', o_orderkey % 9 + 1, '/0',
@@ -397,6 +398,18 @@ def oracle_sql() -> dict[str, str]:
     out["verify_idempotent"] = out["verify_roundtrip"]
 
     # the caller's own detectors, configuration lines, sources
+    out["verify_no_originals"] = with_(three(), numbered(), rewritten(), """
+    p AS (SELECT x.doc_id, CASE WHEN o.value IS NULL THEN x.text
+        ELSE x.text || ' é' || substr(o.value, 1, 9) || '_' || o.value || 'é' END AS text
+      FROM x LEFT JOIN m o ON o.category = 'email' AND o.n = x.doc_id)""", select="""
+    SELECT doc_id, value, CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS uses
+    FROM p JOIN m ON contains(p.text, m.value)""")
+    out["find_words"] = """
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{8,}')) AS word FROM conversations),
+    l AS (SELECT DISTINCT length(word) AS n FROM w),
+    runs AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS run FROM documents),
+    places AS (SELECT doc_id, run, n, unnest(range(1, length(run) - n + 2)) AS p FROM runs, l WHERE n <= length(run))
+    SELECT doc_id, word, count(*) AS uses FROM places JOIN w ON w.word = substr(run, p, n) GROUP BY ALL"""
     out["custom_words"] = """
       SELECT o_orderkey AS line_id, 9 AS start, o_orderpriority AS value FROM orders
       WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"""

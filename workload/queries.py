@@ -19,6 +19,7 @@ from textveil.functions.languages import keywords_for
 from textveil.functions.templates import render_pseudonym
 from textveil.functions.words import GIVEN_NAMES, SURNAMES
 from textveil.operators import audit, findings as fnd, mapping as mp
+from textveil.operators.dictionary import count_words
 from textveil.operators.env import redact_env, restore_env
 from textveil.operators.restore import restore_exact, restore_join, restore_nested, restored_count
 from textveil.operators.scan import Scanner, explode_spans, resolve_overlaps
@@ -368,6 +369,22 @@ def leaks(docs):
     return audit.verify_no_leak(done.documents, done.mapping, engine)
 
 
+def words_of_table(spark, sf):
+    """Every longer word of the conversations, wherever it stands in a document."""
+    said = table(spark, sf, "conversations").select(
+        F.explode(F.regexp_extract_all("text", F.lit("([a-z]{8,})"), F.lit(1))).alias("word"))
+    return count_words(documents(spark, sf), "text", said)
+
+
+def planted_originals(spark, sf):
+    """Redacted texts to which an original was attached where no detector sees it."""
+    done = three().redact(documents(spark, sf))
+    own = done.mapping.where("category = 'email'").select(F.col("n").alias("doc_id"), F.col("value").alias("_v"))
+    text = F.expr("CASE WHEN _v IS NULL THEN text ELSE concat(text, ' é', substring(_v, 1, 9), '_', _v, 'é') END")
+    planted = done.documents.join(own, "doc_id", "left").withColumn("text", text)
+    return audit.verify_no_originals(planted, done.mapping).groupBy("doc_id", "value").agg(F.count("*").alias("uses"))
+
+
 def twice(docs):
     return audit.verify_idempotent(docs, three())
 
@@ -655,6 +672,8 @@ def queries() -> dict[str, Query]:
         "redact_multi_column": multi_column,
         "redact_null_key": awkward(key="CASE WHEN doc_id % 2 = 0 THEN doc_id END"),
         "redact_duplicate_key": awkward(key="doc_id div 10"),
+        "redact_duplicate_key_document": awkward(key="doc_id div 10", scope="document"),
+        "redact_null_key_document": awkward(key="CASE WHEN doc_id % 2 = 0 THEN doc_id END", scope="document"),
         "redact_null_scope": awkward(source="CASE WHEN doc_id % 3 <> 0 THEN source END", scope="source"),
         "restore_unique": restore_unique,
         "find_plates_strict": plates_strict,
@@ -671,6 +690,8 @@ def queries() -> dict[str, Query]:
         "verify_roundtrip": failures(round_trip),
         "verify_no_leak": failures(leaks),
         "verify_idempotent": failures(twice),
+        "verify_no_originals": planted_originals,
+        "find_words": words_of_table,
         "custom_words": own_words,
         "custom_regex": own_regex,
         "detector_packs": packs,
