@@ -9,6 +9,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textveil.functions.detectors import Detector
 from textveil.functions.templates import is_constant, render_pseudonym
@@ -41,13 +42,63 @@ def document_scope(key: Sequence[str]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in key])
 
 
-def distinct_values(findings: DataFrame, order: Sequence[str]) -> DataFrame:
+# bits of a packed place in a corpus: text column, detector rank, start within the text
+_COL_BITS, _RANK_BITS, _START_BITS = 12, 13, 31
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.BooleanType)
+
+
+def _packed(findings: DataFrame, order: Sequence[str]) -> Column | None:
+    """The place of a finding as one number that keeps the order; None if the keys don't fit.
+
+    One whole-numbered key (nulls come first) and the text column's position, then detector
+    rank and start. Numbers of this size are updated in place by a hash aggregate, whereas
+    the least of several columns, or of strings, has every finding sorted first.
+    """
+    keys = [c for c in order if c != "col"]
+    if len(keys) != 1 or not isinstance(findings.schema[keys[0]].dataType, _WHOLE):
+        return None
+    kind = findings.schema[keys[0]].dataType
+    key = F.col(keys[0])
+    if isinstance(kind, T.DateType):
+        key = F.unix_date(key)
+    elif isinstance(kind, T.TimestampType):
+        key = F.unix_micros(key)
+    elif isinstance(kind, T.BooleanType):
+        key = key.cast("int")
+    wide = "decimal(38,0)"
+    col = F.col("col").cast("long") if "col" in order else F.lit(0).cast("long")
+    inside = (F.shiftleft(col, _RANK_BITS + _START_BITS) + F.shiftleft(F.col("rank").cast("long"), _START_BITS)
+              + F.col("start").cast("long"))
+    above = F.lit(str((1 << 63) + 1)).cast("decimal(20,0)")  # of all keys and of 0, which is null's place
+    place = F.coalesce(key.cast("decimal(20,0)") + above, F.lit(0).cast("decimal(20,0)"))
+    size = F.lit(1 << (_COL_BITS + _RANK_BITS + _START_BITS)).cast("decimal(17,0)")
+    return ((place.cast("decimal(20,0)") * size).cast(wide) + inside.cast("decimal(20,0)")).cast(wide)
+
+
+def distinct_values(
+    findings: DataFrame, order: Sequence[str], detectors: Sequence[Detector] | None = None,
+) -> DataFrame:
     """One row per ``(scope, value)``: the category that saw it first owns it.
 
     "First" is document order, then detector rank, then position, because detectors run
     over a document one after the other. Partial aggregation reduces a value that fills a
-    third of the corpus to one row per task before the shuffle.
+    third of the corpus to one row per task before the shuffle. With ``detectors``, to which
+    the ranks refer, and a key that is a whole number, a date or a time, the place of a
+    finding is one number, so the aggregate hashes and nothing is sorted.
     """
+    packed = _packed(findings, order) if detectors else None
+    if packed is not None:
+        rank = F.expr(f"CAST(shiftright(CAST(_first % {1 << _RANK_BITS + _START_BITS} AS BIGINT), {_START_BITS}) AS INT)")
+        seen = findings.groupBy("scope", "value").agg(
+            F.min(packed).alias("_first"), F.count(F.lit(1)).alias("uses"))
+
+        def fact(values) -> Column:
+            return F.get(F.array(*map(F.lit, values)), rank)
+
+        return seen.select(
+            "scope", "value", fact([d.category for d in detectors]).alias("category"),
+            fact([d.name for d in detectors]).alias("pattern"),
+            fact([d.confidence for d in detectors]).alias("confidence"), F.col("_first").alias("first_seen"), "uses")
     seen = F.struct(*order, "rank", "start")
     first = F.min(F.struct(seen.alias("first_seen"), "category", "pattern", "confidence"))
     return (

@@ -210,7 +210,7 @@ class Veil:
         dirty = scanned.where("_dirty")
         findings = with_scope(self.findings(dirty, columns, key, keep), scope, key)
         spans = with_scope(self.findings(dirty, columns, [*key, ROW], keep, match=False), scope, key)
-        values = stage(distinct_values(spans, [*key, "col"]), "values")
+        values = stage(distinct_values(spans, [*key, "col"], self.detectors), "values")
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
         ])

@@ -78,7 +78,7 @@ def scoped(spark, sf, scope: str = "corpus", only=None) -> DataFrame:
 
 def corpus_mapping(spark, sf, scope: str = "corpus", only=None, mapping=None) -> DataFrame:
     found = scoped(spark, sf, scope, only)
-    return mp.build_mapping(mp.distinct_values(found, ["doc_id"]), THREE, scope, mapping)
+    return mp.build_mapping(mp.distinct_values(found, ["doc_id"], THREE), THREE, scope, mapping)
 
 
 # -- detection --------------------------------------------------------------------------------
@@ -177,7 +177,7 @@ def keywords(spark, sf):
 
 
 def distinct_values(spark, sf):
-    return mp.distinct_values(scoped(spark, sf), ["doc_id"]).drop("first_seen")
+    return mp.distinct_values(scoped(spark, sf), ["doc_id"], THREE).drop("first_seen")
 
 
 def numbered(scope: str) -> Query:
@@ -191,7 +191,7 @@ def continued(spark, sf):
 
 def new_values(spark, sf):
     before = stage(corpus_mapping(spark, sf, only="lang = 'en'"), "before")
-    values = mp.distinct_values(scoped(spark, sf), ["doc_id"])
+    values = mp.distinct_values(scoped(spark, sf), ["doc_id"], THREE)
     return mp.new_values(values, before).select("value", "category")
 
 
@@ -204,7 +204,7 @@ def mapping_table(spark, sf):
 
 def join_mapping(spark, sf):
     found = scoped(spark, sf)
-    values = stage(mp.distinct_values(found, ["doc_id"]), "values")
+    values = stage(mp.distinct_values(found, ["doc_id"], THREE), "values")
     known = stage(mp.build_mapping(values, THREE), "mapping")
     return mp.join_mapping(found, known).select("doc_id", "start", "value", "pseudonym", "n")
 
@@ -212,7 +212,7 @@ def join_mapping(spark, sf):
 def join_hot_values(spark, sf):
     """The same join with its most frequent value treated as hot."""
     found = scoped(spark, sf)
-    values = stage(mp.distinct_values(found, ["doc_id"]), "values")
+    values = stage(mp.distinct_values(found, ["doc_id"], THREE), "values")
     known = stage(mp.build_mapping(values, THREE), "mapping")
     hot = [(r.scope, r.value, 4) for r in
            values.orderBy(F.desc("uses"), "value").select("scope", "value").limit(3).collect()]
