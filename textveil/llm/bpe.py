@@ -20,10 +20,10 @@ import sentencepiece
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.common import byte_characters, load_ranks, pieces, strings
+from textveil.llm.common import byte_characters, give_back, load_ranks, pieces, strings
 
-PIECE_BYTES = 2 * 1024 ** 2
-WORDS_KEPT = 250_000  # pre-tokens in each of the two generations that a worker remembers
+PIECE_BYTES = 1024 ** 2
+KEPT_BYTES = 32 * 1024 ** 2  # of pre-tokens in each of the two generations that a worker remembers, about
 
 
 def _number(value: int) -> bytes:
@@ -85,14 +85,15 @@ class ByteBPE:
             self.token[r] = t
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before; words in use move on
+        self.kept = 0
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.older, self.known = self.known, {}
+        if self.kept > KEPT_BYTES:
+            self.older, self.known, self.kept = self.known, {}, 0
         known, older, new = self.known, self.older, []
         for w in set().union(*cut).difference(known):
             ids = older.get(w)
@@ -103,9 +104,11 @@ class ByteBPE:
                     continue
                 ids = array("i", [self.ranks[data]]).tobytes()  # a whole token needs no merging
             known[w] = ids
+            self.kept += 180 + 2 * len(w) + len(ids)
         if new:
             for (w, _), ids in zip(new, self.model.encode([t for _, t in new], num_threads=1), strict=True):
                 known[w] = array("i", [i - 1 for i in ids]).tobytes()
+                self.kept += 180 + 2 * len(w) + 4 * len(ids)
         return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
 
     def decode(self, ids) -> bytes:
@@ -142,6 +145,7 @@ class Codec:
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in pieces(columns, PIECE_BYTES):
                 yield _id_lists(load().encode_all(strings(column)))
+            give_back()
 
         return F.arrow_udf(run, "array<int>")(text)
 
@@ -163,6 +167,7 @@ class Codec:
                 ids = _id_lists(load().encode_all(strings(column)))
                 back = pa.array([load().decode(x) for x in _rows(ids)], pa.binary())
                 yield pa.StructArray.from_arrays([ids, back], ["ids", "decoded"])
+            give_back()
 
         return F.arrow_udf(run, "struct<ids: array<int>, decoded: binary>")(text)
 

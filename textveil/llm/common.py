@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -75,6 +76,14 @@ def pieces(columns: Iterable[pa.Array], size: int = 4 * 1024 ** 2) -> Iterator[p
             at += n
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers live on beside later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import concat_ranges, pieces, strings, words_of
+from textveil.llm.common import concat_ranges, give_back, pieces, strings, words_of
 
 WINDOW = 10
 SAMPLE = 8                    # one suffix position in so many is stored
@@ -269,6 +269,7 @@ class Decontaminator:
                     pa.array([[{"start": a, "words": n} for a, n in s] for s in spans],
                              pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))),
                     pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+            give_back()
 
         kind = "struct<n_words: bigint, spans: array<struct<start: bigint, words: bigint>>, items: array<string>>"
         return F.arrow_udf(run, kind)(text)
@@ -287,6 +288,7 @@ class Decontaminator:
                     for i, s in zip(left, [s for s in spans if s], strict=True):
                         texts[i] = without_words(texts[i], s)
                 yield pa.array(texts, pa.string())
+            give_back()
 
         return F.arrow_udf(run, "string")(text)
 

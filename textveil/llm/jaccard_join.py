@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.common import concat_ranges, groups_of, pieces, strings, text_hash, words_of
+from textveil.llm.common import concat_ranges, give_back, groups_of, pieces, strings, text_hash, words_of
 from textveil.llm.graph import components, own_pairs, smallest_linked, tile_by_tile, tiles
 from textveil.plans.storage import stage
 
@@ -116,6 +116,7 @@ def _signed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for i, s in zip(full, signatures(hashes, made), strict=True):
                 out[i] = s.tobytes()
         yield pa.array(out, pa.binary())
+    give_back()
 
 
 def _bucket(threshold: float, tolerance: float):
@@ -145,6 +146,7 @@ def _bucket(threshold: float, tolerance: float):
             yield pa.RecordBatch.from_arrays([
                 node.take(pa.array(linked)).combine_chunks(),
                 node.take(pa.array(root[linked])).combine_chunks()], ["node", "root"])
+        give_back()
 
     return run
 
@@ -187,6 +189,7 @@ def _cluster(threshold: float):
                 node.take(pa.array(root[linked])).combine_chunks(),
                 pa.array((links @ tile.column("copies").to_numpy())[linked].astype(np.int64))],
                 ["node", "root", "links"])
+        give_back()
 
     return run
 
