@@ -34,6 +34,9 @@ class Detector:
     allowable        the allowlist can spare a match
     labelled         starts with a keyword (see ``strict`` of the engine)
     python_check     vectorised predicate ``pandas.Series -> pandas.Series`` over values
+    keywords, around lower-case keywords, and the regex with KEYWORD in their place, as group 2
+                     of three, the others prefix and value: detectors with one ``around`` can be
+                     run together
     """
 
     name: str
@@ -53,6 +56,8 @@ class Detector:
     allowable: bool = True
     labelled: bool = False
     python_check: Callable | None = None
+    keywords: tuple[str, ...] = ()
+    around: str | None = None
 
     @property
     def java_regex(self) -> str:
@@ -344,6 +349,9 @@ FAMILIES: Mapping[str, tuple[str, ...]] = {
 }
 
 
+KEYWORD = "\x00"  # stands for keywords in the common regex of several detectors
+
+
 def foreign_secrets(
     keywords: Mapping[str, Sequence[str]] = w.FOREIGN_SECRET_WORDS,
 ) -> tuple[Detector, ...]:
@@ -362,6 +370,8 @@ def foreign_secrets(
                 41 if quoted else 40, "high", 1, 2, ("not_redacted",),
                 literals=fewest(k.lower() for k in listed),
                 gate="quote" if quoted else None, languages=(lang,),
+                keywords=tuple(k.lower() for k in listed),
+                around=rf"(({KEYWORD})(?iu:{w.FOREIGN_LINK}){tail}",
             ))
     return tuple(made)
 

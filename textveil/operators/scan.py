@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from textveil.functions import words as w
 from textveil.functions.checks import named_checks
-from textveil.functions.detectors import Detector
-from textveil.functions.dialect import any_literal, java
+from textveil.functions.detectors import KEYWORD, Detector
+from textveil.functions.dialect import any_literal, any_word, java
 from textveil.functions.languages import language_test
 from textveil.functions.sql import all_of, any_of, in_list, let, text
 
@@ -57,6 +57,9 @@ GATES = {
     "hex8": ("joint", r"[0-9a-fA-F]{8}-"),
 }
 
+# Active detectors of one kind from which one pass for all of them is made, if that is wanted.
+UNITE_FROM = 3
+
 # The largest allowlist that is written into the expression itself.
 INLINE_ALLOWLIST = 5_000
 
@@ -68,6 +71,8 @@ class Scanner:
     allowed     name of an ``array<string>`` column with the row's own allowed matches,
                 for allowlists too long to inline
     given, surnames   dictionaries of the person-name check
+    unite       run detectors that differ in their keywords only as one, over the union of the
+                keywords; pays where many of them are active in one row. Findings are the same
     """
 
     def __init__(
@@ -75,6 +80,7 @@ class Scanner:
         detectors: Sequence[Detector],
         allow: Iterable[str] = (),
         allowed: str | None = None,
+        unite: bool = False,
         given: Iterable[str] = w.GIVEN_NAMES,
         surnames: Iterable[str] = w.SURNAMES,
     ):
@@ -85,6 +91,7 @@ class Scanner:
         if len(self.allow) > INLINE_ALLOWLIST:
             raise ValueError("allowlist too long to inline; pass it as a DataFrame")
         self.allowed = allowed
+        self.unite = unite
         self.checks = named_checks(given, surnames)
 
     # -- pieces of SQL ------------------------------------------------------------------
@@ -137,8 +144,8 @@ class Scanner:
             terms.append(flag)
         return all_of(terms)
 
-    def _rewrite(self, bracketed: str, flag: str | None = None) -> str:
-        """Bracketed text of detector ``k`` -> shadow. ``match`` and ``value`` are bound."""
+    def _claim(self, flag: str | None = None) -> str:
+        """What becomes of a match of detector ``k``; its fields ``f``: match, prefix, value."""
         trimmed = {
             k: f"length(regexp_replace(value, {text(java(chr(92) + 's+$'))}, ''))"
             for k in self._ranks(lambda d: d.trim)
@@ -149,10 +156,13 @@ class Scanner:
             f" repeat('{FILL_VALUE}', n - 1),"
             f" repeat('{FILL_TAIL}', length(match) - length(f[1]) - n))"
         ))
-        claim = let("match", "f[0]", let(
+        return let("match", "f[0]", let(
             "value", "f[2]", f"CASE WHEN {self._accept(flag)} THEN {masked} ELSE match END"))
+
+    def _rewrite(self, bracketed: str, flag: str | None = None) -> str:
+        """Bracketed text of detector ``k`` -> shadow."""
         piece = let("h", f"substring_index(p, '{CLOSE}', 1)", (
-            f"concat({let('f', f"split(h, '{SEP}', -1)", claim)}, substring(p, length(h) + 2))"))
+            f"concat({let('f', f"split(h, '{SEP}', -1)", self._claim(flag))}, substring(p, length(h) + 2))"))
         return (
             f"CASE WHEN contains({bracketed}, '{OPEN}') THEN array_join(transform("
             f"split({bracketed}, '{OPEN}'), (p, i) -> CASE WHEN i = 0 THEN p ELSE {piece} END), '')"
@@ -163,6 +173,44 @@ class Scanner:
         """Run detector ``k`` on a shadow."""
         return let("r", self._bracket_any(shadow, ranks), self._rewrite("r"))
 
+    def _united(self, ranks: Sequence[int]) -> str:
+        """Run detectors that differ in keywords only: one pass over the union of the keywords.
+
+        Run one by one, each claims its own matches from the left. One pass gives the same if
+        no match of any of them starts inside another one, which the number of places where a
+        match starts tells, and if at each place the longest keyword belongs to the first
+        active detector that has a keyword there. Other rows are run one by one.
+        """
+        owners: dict[str, set[int]] = {}
+        for k in ranks:
+            for x in self.detectors[k].keywords:
+                owners.setdefault(x, set()).add(k)
+        table = {
+            x: {"own": sorted(ks), "shorter": sorted(
+                set().union(*(o for y, o in owners.items() if y != x and x.startswith(y))) - ks)}
+            for x, ks in owners.items()
+        }
+        kind = "map<string,struct<own:array<int>,shorter:array<int>>>"
+        facts = f"element_at(from_json({text(json.dumps(table, ensure_ascii=False))}, '{kind}'), lower(h[2]))"
+        regex = java(self.detectors[ranks[0]].around.replace(KEYWORD, any_word(owners)))
+        # in front of each place where a match starts: its prefix, value and keyword
+        bracketed = f"regexp_replace(_shadow, {text('(?=' + regex + ')')}, '{OPEN}$1{SEP}$3{SEP}$2{CLOSE}')"
+        active = f"filter(_active, k -> k BETWEEN {ranks[0]} AND {ranks[-1]})"
+        first = let("o", facts, let("c", "array_min(array_intersect(o.own, act))", (
+            "named_struct('f', array(concat(h[0], h[1]), h[0], h[1]), 'k', c, 'plain', o IS NOT NULL"
+            " AND NOT exists(array_intersect(o.shorter, act), k -> c IS NULL OR k < c))")))
+        start = let("g", f"substring_index(p, '{CLOSE}', 1)", let("h", f"split(g, '{SEP}', -1)", let("q", first, (
+            "named_struct('f', q.f, 'k', q.k, 'plain', q.plain AND length(p) - length(g) - 1 >= length(q.f[0]),"
+            " 'behind', substring(p, length(g) + 2 + length(q.f[0])))"))))
+        claim = let("k", "x.k", let("f", "x.f", f"CASE WHEN k IS NULL THEN f[0] ELSE {self._claim()} END"))
+        whole = let("ps", f"split({bracketed}, '{OPEN}')", let("xs", f"transform(slice(ps, 2, size(ps)), p -> {start})", (
+            "CASE WHEN forall(xs, x -> x.plain) THEN"
+            f" concat(ps[0], array_join(transform(xs, x -> concat({claim}, x.behind)), '')) END")))
+        alone = f"aggregate(act, _shadow, (t, k) -> {self._step('t', ranks)})"
+        return let("act", active, (
+            f"CASE WHEN size(act) = 0 THEN _shadow WHEN size(act) < {UNITE_FROM} THEN {alone}"
+            f" ELSE coalesce({whole}, {alone}) END"))
+
     @staticmethod
     def decode(shadow: str) -> str:
         """Shadow -> ordered array of spans; values are cut from ``_original``, a name the
@@ -281,6 +329,8 @@ class Scanner:
         for run in self._runs():
             if isinstance(run, int):
                 df = self._python_step(df, keep, run)
+            elif isinstance(run, tuple):
+                df = df.selectExpr(*_quoted(keep), "_active", f"{self._united(run)} AS _shadow")
             else:
                 # the fold sees only the ranks of its own run, in order
                 first, last = run[0], run[-1]
@@ -323,12 +373,18 @@ class Scanner:
         return df.selectExpr(
             *_quoted(keep), f"{let('_original', f'`{column}`', found)} AS {into}")
 
-    def _runs(self) -> list[list[int] | int]:
-        """Consecutive ranks that run in one fold; a Python predicate stands alone."""
-        runs: list[list[int] | int] = []
+    def _runs(self) -> list[list[int] | int | tuple[int, ...]]:
+        """Consecutive ranks that run in one fold; a Python predicate stands alone, and detectors
+        that run as one are a tuple."""
+        runs: list[list[int] | int | tuple[int, ...]] = []
         for k, d in enumerate(self.detectors):
             if d.python_check:
                 runs.append(k)
+            elif self.unite and d.around:
+                if runs and isinstance(runs[-1], tuple) and self.detectors[runs[-1][0]].around == d.around:
+                    runs[-1] += (k,)
+                else:
+                    runs.append((k,))
             elif runs and isinstance(runs[-1], list):
                 runs[-1].append(k)
             else:

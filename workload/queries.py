@@ -90,7 +90,7 @@ def family(name: str) -> Query:
 
     def run(spark, sf):
         lines = sql_over(spark, sf, "orders", lines_sql(name))
-        return find_spans(lines, "text", detectors, ["line_id"], resolve=True).select(
+        return find_spans(lines, "text", detectors, ["line_id"], resolve=True, unite=name == "i18n_secrets").select(
             "line_id", "pattern", "start", "end", "v_start", "value")
 
     return run
