@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import decontaminate, hmm, language_id, sharding
+from textveil.llm import decontaminate, hmm, language_id, queries, sharding
 from textveil.llm.common import words_of
 
 from .conftest import prose
@@ -121,6 +121,38 @@ def test_shards_are_even_and_keep_groups(spark):
     assert together > 0.6 * 400  # by chance it would be an eighth
 
 
+def test_hardly_any_link_is_cut(spark):
+    """Groups of two to twenty beside one of a third of all rows: the small ones stay whole."""
+    n, rows, links, at = 6_000, [], [], 2_000
+    links += [(i, 0) for i in range(1, 2_000)]
+    while at < n:
+        size = min(2 + at % 19, n - at)
+        links += [(at + i, at) for i in range(1, size)]
+        at += size + at % 3
+    got = sharding.balanced_shards(spark.range(n).toDF("node"), spark.createDataFrame(links, "a long, b long"), 8).collect()
+    shard = {r.node: r.shard for r in got}
+    size = Counter(shard.values())
+    assert len(got) == n and max(size.values()) - min(size.values()) <= 1
+    small = [(a, b) for a, b in links if b >= 2_000]
+    assert sum(shard[a] != shard[b] for a, b in small) < 0.025 * len(small)
+    hot = Counter(shard[i] for i in range(2_000))
+    assert sum(sorted(hot.values())[-3:]) >= 0.9 * 2_000  # three shards hold it
+
+
+def test_query_of_shards(spark, tmp_path):
+    texts = [None, "", "", None, "a", "a", "é", "b" * 5_000, "a"] + [f"text {i}" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a"), (4, "a"), (4, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_sharding(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"rows"} and all(r.grown_shard is None for r in got)
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r["size"], r.text_crc32)) for r in got)
+    count = Counter(r.shard for r in got)
+    assert set(count) == set(range(16)) and max(count.values()) - min(count.values()) <= 1
+    for s, n in count.items():
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+
+
 def test_shards_of_a_hot_group_and_of_few_rows(spark):
     nodes = spark.range(60).withColumnRenamed("id", "node")
     hot = spark.range(40).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))

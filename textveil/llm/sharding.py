@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from textveil.plans.storage import stage
 
-ROUNDS = 6
+ROUNDS = 40      # at most; they end when few documents still move
+STILL = 1 / 2000  # of the linked documents: fewer moves than these end the rounds
 SLACK = 0.05  # share above the even size that a shard may hold between rounds
 
 
@@ -49,7 +50,8 @@ def _by_shard(values: list) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _round(placed: DataFrame, links: DataFrame, shards: int, capacity: float, k: int) -> DataFrame:
+def _round(placed: DataFrame, links: DataFrame, shards: int, capacity: float, k: int) -> tuple[DataFrame, int]:
+    """The shards after one round, and how many documents moved."""
     there = links.join(placed.select(F.col("node").alias("b"), F.col("shard").alias("there")), "b")
     pull = there.groupBy("a", "there").agg(F.sum("weight").alias("pull"))
     # strongest pull; the lower shard among equals
@@ -76,13 +78,15 @@ def _round(placed: DataFrame, links: DataFrame, shards: int, capacity: float, k:
     # half of the wishes wait, so that two linked documents don't swap places for ever
     draw = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1_000_000)) / 1_000_000.0
     goes = F.col("moves") & (draw < chance) & (F.pmod(F.xxhash64("node", F.lit(-k - 1)), F.lit(2)) == 0)
-    return stage(wishes.select("node", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard")), "placed")
+    after = stage(wishes.select(
+        "node", F.when(goes, F.col("wish")).otherwise(F.col("shard")).alias("shard"), goes.alias("moved")), "placed")
+    return after.drop("moved"), after.where("moved").count()
 
 
 def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """``(node, shard, slot)`` for a table of distinct ``node`` ids.
 
-    ``links(a, b)`` are undirected and may repeat; those of unknown nodes and of a node with
+    Rounds go on until hardly any document moves, ``rounds`` at most. ``links(a, b)`` are undirected and may repeat; those of unknown nodes and of a node with
     itself are ignored. Counts of shards differ by one at most, slots count from 0 in each
     shard. A group of links that is larger than a shard is spread over several. No nodes give
     an empty table; fewer nodes than shards leave shards empty.
@@ -93,8 +97,13 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int, rounds: int
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("weight"))
     both = stage(both.join(placed.select(F.col("node").alias("a")), "a", "left_semi"), "links")
-    for k in range(rounds):
-        placed = _round(placed, both, shards, total / shards, k)
+    linked = both.select("a").distinct().count()
+    quiet = 0
+    for k in range(rounds if linked else 0):
+        placed, moves = _round(placed, both, shards, total / shards, k)
+        quiet = quiet + 1 if moves <= linked * STILL else 0
+        if quiet == 2:  # one round may find few by chance
+            break
     # rows with the weakest ties at home come last and are handed on
     ties = (both.join(placed.select(F.col("node").alias("a"), F.col("shard").alias("x")), "a")
             .join(placed.select(F.col("node").alias("b"), F.col("shard").alias("y")), "b")
