@@ -84,9 +84,10 @@ OP7 = r"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(t))) AS line_no, unnest(t) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
 d AS (SELECT line, length(line) AS n, count(*) AS copies, min({'d': doc_id, 'l': line_no}) AS f
-  FROM l WHERE length(line) >= 20 GROUP BY line),
+  FROM l WHERE length(line) >= 1 GROUP BY line),
 link AS (SELECT a.line AS a, b.line AS b, b.copies AS c FROM d a JOIN d b
-  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND levenshtein(a.line, b.line) <= 2),
+  ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND least(a.n, b.n) >= 10
+  AND levenshtein(a.line, b.line) <= CASE WHEN least(a.n, b.n) >= 20 THEN 2 ELSE 1 END),
 reach(a, b) AS (SELECT line, line FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 class AS (SELECT reach.a AS line, min(d.f) AS f FROM reach JOIN d ON d.line = reach.b GROUP BY reach.a),
 direct AS (SELECT a AS line, sum(c) AS c FROM link GROUP BY a)

@@ -78,7 +78,7 @@ def op6_language_id(spark, sf):
 
 
 def op7_line_dedup(spark, sf):
-    found = line_dedup.duplicate_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    found = line_dedup.duplicate_lines(table(spark, sf, "documents").select("doc_id", "text"), short=True)
     return found.select(
         "doc_id", "line_no", "n_links", F.col("class_key").alias("class_doc_id"),
         F.col("class_line").alias("class_line_no"), "kept")
