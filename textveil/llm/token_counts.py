@@ -26,7 +26,7 @@ from textveil.llm.common import byte_characters, pieces, strings
 
 # Fixed value: how byte-level vocabularies of this kind cut texts before merging.
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-KEPT_BYTES = 160 * 1024 ** 2  # of pre-tokens and their counts that a worker remembers, about
+KEPT_BYTES = 220 * 1024 ** 2  # of pre-tokens and their counts that a worker remembers, about
 PAIRS_KEPT = 1_000_000        # pairs of tokens of which a worker remembers whether they stay
 LONG = 64                     # bytes from which a pre-token's short tokens are tried first
 
