@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,10 +116,12 @@ def new_values(values: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def number_values(
-    values: DataFrame, mapping: DataFrame | None = None, scope: str = "corpus",
+    values: DataFrame, mapping: DataFrame | None = None, scope: str = "corpus", last: DataFrame | None = None,
 ) -> DataFrame:
     """Number values per scope and category in first-seen order, after the mapping's last n.
 
+    ``last(scope, category, n)`` are those numbers, if the mapping given does not hold all rows.
+
     A scope that is one document is small, so a plain window does. Otherwise a window over
     (scope, category) would put most of the corpus into a handful of tasks. Instead the
     values are range-partitioned in the wanted order and numbered inside each partition;
@@ -150,8 +154,10 @@ def number_values(
             .withColumn("n", F.col("_before") + F.col("_id") - F.col("_first") + 1)
             .drop("_id", "_part", "_first", "_before")
         )
-    if mapping is not None:
-        last = mapping.groupBy(*group).agg(F.max("n").alias("_last"))
+    if last is None:
+        last = mapping
+    if last is not None:
+        last = last.groupBy(*group).agg(F.max("n").alias("_last"))
         numbered = (
             numbered.join(last, group, "left")
             .withColumn("n", F.col("n") + F.coalesce("_last", F.lit(0))).drop("_last")
@@ -163,13 +169,81 @@ def render(numbered: DataFrame, detectors: Iterable[Detector]) -> DataFrame:
     return numbered.withColumn("pseudonym", render_pseudonym(detectors))
 
 
+def _running_sum(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` plus ``below``: the weights of the marks of its category at smaller places.
+
+    ``rows(category, place, ...)`` and ``marks(category, place, weight)`` are sorted into ranges
+    together; sums inside a range are shifted by a table of at most ranges + categories sums.
+    """
+    own = [c for c in rows.columns if c not in ("category", "place")]
+    both = rows.select("category", "place", F.struct(*own, F.lit(0).alias("_")).alias("row"), F.lit(0).cast("long").alias("weight")).unionByName(
+        marks.select("category", "place", "weight"), allowMissingColumns=True)
+    order = ["category", "place", "mark"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(
+        both.withColumn("mark", F.col("row").isNull()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy("category", "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("category", "_part").agg(F.sum("weight").alias("s")).withColumn(
+        "_before", F.coalesce(F.sum("s").over(earlier), F.lit(0))).drop("s")
+    found = ranged.withColumn("_in", F.sum("weight").over(inside)).join(sums, ["category", "_part"]).where("NOT mark")
+    return found.select("category", "place", *[F.col(f"row.{c}").alias(c) for c in own],
+                        (F.col("_in") + F.col("_before")).alias("below"))
+
+
+def taken_numbers(leftover: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """``(category, place)``: numbers whose pseudonym stands in a text, of templates that hold just ``{n}``."""
+    shapes: dict[tuple[str, str, int, str], None] = {}
+    for d in detectors:
+        parts = re.fullmatch(r"([^{}]*)\{n(?::0(\d+)d)?\}([^{}]*)", d.template)
+        if parts and not d.template.startswith("@"):
+            shapes[d.category, parts[1], int(parts[2] or 0), parts[3]] = None
+    found = []
+    for category, head, width, tail in shapes:
+        inner = F.col("token").substr(F.lit(len(head) + 1), F.length("token") - len(head) - len(tail))
+        number = F.expr("try_cast(d AS BIGINT)")
+        spelled = F.lpad(number.cast("string"), width, "0") if width else number.cast("string")
+        spelled = F.when(F.length(number.cast("string")) >= width, number.cast("string")).otherwise(spelled)
+        found.append(
+            leftover.where(F.startswith("token", F.lit(head)) & F.endswith("token", F.lit(tail))).select(inner.alias("d"))
+            .where(F.col("d").rlike("^[0-9]+$") & (spelled == F.col("d")) & number.between(1, MOST))
+            .select(F.lit(category).alias("category"), number.alias("place")))
+    if not found:
+        return leftover.sparkSession.createDataFrame([], "category string, place bigint")
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def around_taken(numbered: DataFrame, taken: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """Shift numbers so that the n-th value gets the n-th number that is not taken, in one pass.
+
+    ``numbered`` counts on from ``last(scope, category, n)`` without gaps. A taken number has so
+    many free ones below it; a value moves on by the taken ones that have fewer below them than
+    it has values and free numbers before it. All three counts are running sums.
+    """
+    ones = taken.withColumn("weight", F.lit(1).cast("long"))
+    below = _running_sum(taken.withColumn("t", F.col("place")), ones)
+    marks = stage(below.select("category", (F.col("t") - 1 - F.col("below")).alias("place"), F.lit(1).cast("long").alias("weight")), "taken")
+    rows = numbered
+    if last is not None:
+        ends = last.groupBy("scope", "category").agg((F.max("n") + 1).alias("place"))
+        passed = _running_sum(ends, ones).select("scope", "category", F.col("below").alias("_passed"))
+        rows = rows.join(passed, ["scope", "category"], "left")
+    else:
+        rows = rows.withColumn("_passed", F.lit(0))
+    free = F.col("n") - F.coalesce("_passed", F.lit(0))
+    moved = _running_sum(rows.withColumn("place", free).drop("n", "_passed"), marks)
+    return moved.withColumn("n", F.col("place") + F.col("below")).drop("place", "below")
+
+
 def avoid_leftovers(
     rendered: DataFrame, leftover: DataFrame, detectors: Sequence[Detector],
 ) -> DataFrame:
     """Renumber values whose pseudonym already stands, unclaimed, in the corpus.
 
     Restoring would turn that text into the value. ``leftover(token)`` are such tokens,
-    usually none. A clash moves past the last number in use and past every number that a
+    usually none. Numbers of plain templates were given round them (:func:`around_taken`); this is
+    for the other templates. A clash moves past the last number in use and past every number that a
     leftover token spells, so a second round is rarely needed, and rounds go on until no
     clash is left. A value meets each token once at most, which bounds them; templates that
     are constant or repeat after some numbers (MAC addresses) can run out of tokens and stay
@@ -184,15 +258,9 @@ def avoid_leftovers(
         if clash.isEmpty():
             return rendered
         spelled = leftover.select(
-            F.expr("max(try_cast(regexp_extract(token, '([0-9]+)[^0-9]*$', 1) AS BIGINT))")
-            .alias("_spelled"))
-        floor = (
-            rendered.groupBy(*group).agg(F.max("n").alias("_last"))
-            .withColumn("_spelled", F.lit(spelled.first()[0]))
-            .select(*group, F.expr(
-                f"CASE WHEN _spelled < {MOST} THEN greatest(_last, coalesce(_spelled, 0))"
-                " ELSE _last END").alias("_floor"))
-        )
+            F.expr("try_cast(regexp_extract(token, '([0-9]+)[^0-9]*$', 1) AS BIGINT)").alias("s"))
+        most = spelled.where(F.col("s") < MOST).agg(F.max("s")).first()[0] or 0
+        floor = rendered.groupBy(*group).agg(F.greatest(F.max("n"), F.lit(most)).alias("_floor"))
         moved = (
             number_values(clash.drop("n", "pseudonym"))
             .join(floor, group).withColumn("n", F.col("n") + F.col("_floor")).drop("_floor")
@@ -221,6 +289,7 @@ def mark_reversible(mapping: DataFrame, leftover: DataFrame | None = None) -> Da
 def build_mapping(
     values: DataFrame, detectors: Sequence[Detector], scope: str = "corpus",
     mapping: DataFrame | None = None, leftover: DataFrame | None = None, whole: bool = True,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct values -> mapping table; an earlier mapping is kept and continued.
 
@@ -228,11 +297,14 @@ def build_mapping(
     batch does not rewrite a large mapping.
     """
     fresh = new_values(values, mapping) if mapping is not None else values
-    rendered = render(number_values(fresh, mapping, scope), detectors)
+    numbered = number_values(fresh, mapping, scope, last)
     if leftover is not None and not leftover.isEmpty():
-        rendered = avoid_leftovers(stage(rendered, "rendered"), leftover, detectors)
+        taken = stage(taken_numbers(leftover, detectors), "taken-numbers")
+        if not taken.isEmpty():
+            numbered = around_taken(stage(numbered, "numbered"), taken, mapping if last is None else last)
+        rendered = avoid_leftovers(stage(render(numbered, detectors), "rendered"), leftover, detectors)
     else:
-        leftover = None
+        rendered, leftover = render(numbered, detectors), None
     rows = rendered.withColumn("reversible", F.lit(True)).select(*COLUMNS)
     if mapping is not None:
         kept = mapping.select(*COLUMNS)

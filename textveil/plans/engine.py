@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -168,16 +168,19 @@ class Veil:
         columns: str | Sequence[str] = "text",
         key: str | Sequence[str] = "doc_id",
         scope: str = "corpus",
-        mapping: DataFrame | None = None,
+        mapping: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
         whole: bool = True,
         leftovers: DataFrame | None = None,
+        last: DataFrame | None = None,
     ) -> Redaction:
         """Replace every finding by its pseudonym.
 
         ``scope`` says who shares a numbering: ``corpus``, ``document``, or a column (for
         instance a file path). ``key`` identifies a row and gives the corpus its order. An
         earlier ``mapping`` is kept and continued; without ``whole`` the result's mapping has
-        only the rows this table needs. ``leftovers(token)`` are pseudonym-shaped tokens of
+        only the rows this table needs. A mapping too large to be read may be a function that is
+        given the values found, ``(scope, value, ...)``, and returns their rows; ``last`` then holds
+        the last numbers, ``(scope, category, n)``. ``leftovers(token)`` are pseudonym-shaped tokens of
         texts redacted earlier, which no new value may be given.
 
         Keys may be null or repeat: rows are told apart by an id of their own, and a null
@@ -194,12 +197,14 @@ class Veil:
         if alone and mapping is None and len(columns) == 1:
             return self._redact_rows(scanned, columns[0], key, order)
         return self.redact_scanned(scanned, columns, key, order, scope, mapping, whole,
-                                   leftovers, alone)
+                                   leftovers, alone, last)
 
     def redact_scanned(
         self, scanned: DataFrame, columns: Sequence[str], key: Sequence[str],
-        order: Sequence[str], scope: str = "corpus", mapping: DataFrame | None = None,
+        order: Sequence[str], scope: str = "corpus",
+        mapping: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
         whole: bool = True, leftovers: DataFrame | None = None, small_scopes: bool = False,
+        last: DataFrame | None = None,
     ) -> Redaction:
         """Number, render and rewrite a table from :func:`stage_scanned`.
 
@@ -211,6 +216,8 @@ class Veil:
         findings = with_scope(self.findings(dirty, columns, key, keep), scope, key)
         spans = with_scope(self.findings(dirty, columns, [*key, ROW], keep, match=False), scope, key)
         values = stage(distinct_values(spans, [*key, "col"], self.detectors), "values")
+        if callable(mapping):
+            mapping = mapping(values)
         leftover = reduce(DataFrame.unionByName, [
             scanned.select(F.explode(f"_left_{i}").alias("token")) for i in range(len(columns))
         ])
@@ -219,7 +226,8 @@ class Veil:
             F.expr(f"explode(concat(array(token), {shorter('token')})) AS token")).distinct()
         taken = leftover if leftovers is None else leftover.union(leftovers.select("token")).distinct()
         table = stage(
-            build_mapping(values, self.detectors, scope if small_scopes else "corpus", mapping, taken, whole), "mapping")
+            build_mapping(values, self.detectors, scope if small_scopes else "corpus", mapping, taken, whole, last),
+            "mapping")
         total = values.agg(F.sum("uses")).first()[0] or 0
         hot = hot_keys(values, ["scope", "value"], total)
         named = join_hot(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,8 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from textveil.operators.mapping import COLUMNS, MAPPING, mark_reversible
 from textveil.operators.restore import mapping_shape, replace_once, small_mapping
 from textveil.plans.engine import Veil
+from textveil.plans.storage import stage
+from textveil.streaming.store import Store
 
-STORED = ", ".join(f for f in MAPPING.split(", ")) + ", batch_id bigint"
+STORED = MAPPING
+NUMBERS = "scope string, category string, n bigint"
 
 
 def redact_stream(sdf: DataFrame, engine: Veil, column: str = "text") -> DataFrame:
@@ -21,28 +23,29 @@ def redact_stream(sdf: DataFrame, engine: Veil, column: str = "text") -> DataFra
     return engine.redact_rows(sdf, column)
 
 
-def read_stream_mapping(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The mapping that batches have written so far (or those before one batch)."""
-    return _read(spark, path, STORED, before)
+def mapping_store(spark: SparkSession, path: str) -> Store:
+    """Mapping rows of all batches, by value."""
+    return Store(spark, path, STORED, ["scope", "value"])
+
+
+def token_store(spark: SparkSession, path: str) -> Store:
+    """Pseudonym-shaped tokens that stand in the texts of the batches."""
+    return Store(spark, f"{path.rstrip('/')}-tokens", "token string", ["token"])
 
 
-def _read(spark: SparkSession, path: str, schema: str, before: int | None) -> DataFrame:
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], schema)
-    return rows.where(F.col("batch_id") < before) if before is not None else rows
+def number_store(spark: SparkSession, path: str) -> Store:
+    """The last number of each scope and category that a batch has numbered."""
+    return Store(spark, f"{path.rstrip('/')}-numbers", NUMBERS, ["scope", "category"])
 
 
-def _tokens(mapping_path: str) -> str:
-    return f"{mapping_path.rstrip('/')}-tokens"
+def read_stream_mapping(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The mapping that batches have written so far (or those before one batch)."""
+    return mapping_store(spark, path).read(before)
 
 
 def read_stream_leftovers(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Pseudonym-shaped tokens that stand in the texts of the batches so far."""
-    return _read(spark, _tokens(path), "token string, batch_id bigint", before).select("token").distinct()
+    return token_store(spark, path).read(before).distinct()
 
 
 def redact_batch(
@@ -51,18 +54,27 @@ def redact_batch(
 ) -> None:
     """One micro-batch: look up known values, number new ones, write both results.
 
-    The pseudonym-shaped tokens of a batch's texts are kept beside the mapping
-    (``<mapping_path>-tokens``), so that later batches don't give them to a value. All writes go to a folder named by the batch and replace it. The mapping that a batch
+    Of the mapping so far only the buckets of the batch's own values are read, and numbers go on
+    from a small table of last numbers. The pseudonym-shaped tokens of a batch's texts are kept
+    beside the mapping (``<mapping_path>-tokens``), so that later batches don't give them to a
+    value. All writes go to a folder named by the batch and replace it. The mapping that a batch
     continues is the one of earlier batches, so running a batch again changes nothing.
     """
     spark = batch.sparkSession
-    known = read_stream_mapping(spark, mapping_path, batch_id).select(*COLUMNS)
-    earlier = read_stream_leftovers(spark, mapping_path, batch_id)
-    done = engine.redact(batch, columns, key, mapping=known, whole=False, leftovers=earlier)
-    fresh = done.mapping.join(known.select("scope", "value"), ["scope", "value"], "left_anti")
+    store, tokens, numbers = mapping_store(spark, mapping_path), token_store(spark, mapping_path), number_store(spark, mapping_path)
+    looked_up: list[DataFrame] = []
+
+    def known(values: DataFrame) -> DataFrame:
+        looked_up.append(store.read(batch_id, values).select(*COLUMNS))
+        return looked_up[0]
+
+    done = engine.redact(batch, columns, key, mapping=known, whole=False, leftovers=tokens.read(batch_id),
+                         last=numbers.read(batch_id))
+    fresh = stage(done.mapping.join(looked_up[0].select("scope", "value"), ["scope", "value"], "left_anti"), "fresh")
     if done.leftovers is not None:
-        done.leftovers.write.mode("overwrite").parquet(f"{_tokens(mapping_path)}/batch_id={batch_id}")
-    fresh.write.mode("overwrite").parquet(f"{mapping_path}/batch_id={batch_id}")
+        tokens.append(batch_id, done.leftovers)
+    store.append(batch_id, fresh)
+    numbers.append(batch_id, fresh.groupBy("scope", "category").agg(F.max("n").alias("n")))
     done.documents.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
 

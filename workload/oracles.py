@@ -398,6 +398,18 @@ def oracle_sql() -> dict[str, str]:
     out["verify_idempotent"] = out["verify_roundtrip"]
 
     # the caller's own detectors, configuration lines, sources
+    out["rejected_values"] = """
+    SELECT o_orderkey AS line_id, 'ssn' AS pattern, 4 AS start, '2' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-45-'
+      || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS value FROM orders WHERE o_orderkey % 5 > 2
+    UNION ALL SELECT o_orderkey, 'generic_identifier_unquoted', 18, 'svc_' || o_orderkey FROM orders WHERE o_orderkey % 7 > 3"""
+    out["detectors_by_priority"] = """
+    SELECT o_orderkey AS line_id, 'first' AS pattern, 0 AS start, 'ref' AS value FROM orders
+    UNION ALL SELECT o_orderkey, 'early', 4, (1000 + o_orderkey % 9000) || '-' || o_orderkey || 'z' FROM orders
+    UNION ALL SELECT o_orderkey, 'late', 15 + length(CAST(o_orderkey AS VARCHAR)), o_orderkey || 'z' FROM orders"""
+    given, surnames = ("[" + ", ".join(q(x.title()) for x in names) + "]" for names in (w.GIVEN_NAMES, w.SURNAMES))
+    out["find_all_person_names"] = f"""
+    SELECT line_id, 8 AS start, value FROM (SELECT o_orderkey AS line_id, {given}[o_orderkey % {len(w.GIVEN_NAMES)} + 1] || ' '
+      || {surnames}[(o_orderkey // 4) % {len(w.SURNAMES)} + 1] AS value FROM orders WHERE o_orderkey % 3 <> 0)"""
     out["verify_no_originals"] = with_(three(), numbered(), rewritten(), """
     p AS (SELECT x.doc_id, CASE WHEN o.value IS NULL THEN x.text
         ELSE x.text || ' é' || substr(o.value, 1, 9) || '_' || o.value || 'é' END AS text

@@ -164,6 +164,44 @@ def match_names(spark, sf):
     return fnd.match_names(candidates, first, last)
 
 
+REJECTED = """SELECT o_orderkey AS line_id, concat('ssn ', CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '000' WHEN 1 THEN '666'
+  WHEN 2 THEN concat('9', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0')) ELSE concat('2', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'))
+  END, '-45-', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), ' | username: ', CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 'None'
+  WHEN 1 THEN concat('REDACTED_USER_', CAST(o_orderkey AS STRING)) WHEN 2 THEN 'undefined' WHEN 3 THEN 'TRUE'
+  ELSE concat('svc_', CAST(o_orderkey AS STRING)) END, ' . ') AS text FROM orders"""
+
+
+def rejected(spark, sf):
+    """Social security numbers of areas that don't exist, common words, and values redacted before."""
+    found = find_spans(sql_over(spark, sf, "orders", REJECTED), "text",
+                       ordered(by_name("ssn", "generic_identifier_unquoted")), ["line_id"], resolve=True)
+    return found.select("line_id", "pattern", "start", "value")
+
+
+def by_priority(spark, sf):
+    """Detectors that claim the same text: the lower priority wins, then the one registered first."""
+    lines = table(spark, sf, "orders").selectExpr("o_orderkey AS line_id", "concat('ref ', 1000 + o_orderkey % 9000, '-', o_orderkey,"
+                                                  " 'z and ', o_orderkey, 'z') AS text")
+    engine = Veil(detectors=())
+    for name, regex, priority in (("late", r"\d+z", 60), ("tie", r"\d+z", 60), ("early", r"\d{4}-\d+z", 40), ("first", r"ref", -5)):
+        engine.register(name, regex, priority=priority)
+    return engine.findings(engine.scan(lines, key=["line_id"]), key=["line_id"]).select("line_id", "pattern", "start", "value")
+
+
+def names_sql(given: str, surnames: str) -> str:
+    return (f"SELECT k AS line_id, concat('Seen by ', CASE WHEN k % 3 = 0 THEN concat('Qx', {surnames}) ELSE {given} END, ' ',"
+            f" {surnames}, ', ok') AS text FROM (SELECT o_orderkey AS k FROM orders) o")
+
+
+def person_names(spark, sf):
+    """Every given name with every fourth surname or so; a third of the lines has a first word that is no name."""
+    pick = "array({})[CAST({} AS INT)]"
+    given = pick.format(", ".join(f"'{x.title()}'" for x in GIVEN_NAMES), f"k % {len(GIVEN_NAMES)}")
+    surname = pick.format(", ".join("'" + x.title().replace("'", "\\'") + "'" for x in SURNAMES), f"(k div 4) % {len(SURNAMES)}")
+    lines = sql_over(spark, sf, "orders", names_sql(given, surname))
+    return find_spans(lines, "text", by_name("person_name"), ["line_id"], resolve=True).select("line_id", "start", "value")
+
+
 def languages(spark, sf):
     return documents(spark, sf).select("doc_id", detect_languages("text").alias("langs"))
 
@@ -641,6 +679,9 @@ def queries() -> dict[str, Query]:
         "with_group": lambda s, d: fnd.count_by(
             fnd.with_group(corpus_findings(s, d)), "category", "grp"),
         "match_names": match_names,
+        "rejected_values": rejected,
+        "detectors_by_priority": by_priority,
+        "find_all_person_names": person_names,
         "detect_languages": lambda s, d: languages(s, d).select(
             "doc_id", F.array_join("langs", ",").alias("langs")),
         "keywords_for": keywords,
