@@ -108,3 +108,25 @@ def test_numbers_round_taken_ones(spark):
             want.add((s, c, v, x))
         got = {(r.scope, r.category, r.value, r.n) for r in mp.around_taken(source, numbers, before).collect()}
         assert got == want
+
+
+def test_many_values_in_a_row(spark):
+    import time
+
+    from conftest import redact_each
+
+    engine = Veil(detectors=by_name("email"))
+    redact_each(spark, ["a@corp.com"], engine)
+    took = []
+    for n in (2_000, 20_000):
+        text = " ".join(f"user{i * 7919 % n}@corp.com and" for i in range(n + 50))
+        began = time.time()
+        (redacted, mapping), = redact_each(spark, [text], engine)
+        took.append(time.time() - began)
+        assert len(mapping) == n and redacted.startswith("user-1@redacted.example.net and user-2@")
+        for p in sorted(mapping, key=len, reverse=True)[:50]:
+            assert p in redacted
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        done = engine.redact(df, scope="document")
+        assert engine.restore(done.documents, done.mapping, scope="document").first().text == text
+    assert took[1] < 20 + 15 * took[0]

@@ -15,12 +15,16 @@ from textveil.operators.mapping import COLUMNS, MOST
 
 def rebuild_text(column: str, edits: str) -> Column:
     """Text with ``edits``, an ordered ``array<struct<v_start, v_end, new>>``, applied."""
-    before = f"CASE WHEN i = 0 THEN 0 ELSE {edits}[i - 1].v_end END"
-    joined = (
-        f"array_join(concat(transform({edits}, (x, i) -> concat(substring(_original,"
-        f" {before} + 1, x.v_start - {before}), x.new)),"
-        f" array(substring(_original, {edits}[size({edits}) - 1].v_end + 1))), '')"
-    )
+    # about sqrt(n) runs of sqrt(n) edits, each with its part of the text: a long text that is
+    # cut from its beginning n times would be quadratic
+    piece = ("concat(substring(cut, CASE WHEN i = 0 THEN 0 ELSE part[i - 1].v_end - a END + 1,"
+             " x.v_start - CASE WHEN i = 0 THEN a ELSE part[i - 1].v_end END), x.new)")
+    run = let("a", "CASE WHEN j = 0 THEN 0 ELSE es[j * w - 1].v_end END", let("part", "slice(es, j * w + 1, w)", let(
+        "cut", "substring(_original, a + 1, element_at(part, -1).v_end - a)",
+        f"array_join(transform(part, (x, i) -> {piece}), '')")))
+    runs = f"transform(sequence(0, CAST((size(es) - 1) div w AS INT)), j -> {run})"
+    joined = let("es", edits, let("w", "CAST(ceil(sqrt(size(es))) AS INT)", (
+        f"concat(array_join({runs}, ''), substring(_original, element_at(es, -1).v_end + 1))")))
     return F.expr(
         f"CASE WHEN coalesce(size({edits}), 0) = 0 THEN `{column}`"
         f" ELSE {let('_original', f'`{column}`', joined)} END"
@@ -59,37 +63,44 @@ def apply_edits(
 def mapping_in_row(
     df: DataFrame, spans: str, detectors: Sequence[Detector], leftover: str | None = None,
 ) -> DataFrame:
-    """Add ``_mapping``: a document's own mapping, numbered from 1 per category.
-
-    Everything happens inside the row, so redacting per document needs no shuffle at all.
-    Values are taken in the order the detectors meet them (rank, then position); the first
-    category to meet a value owns it. If a pseudonym stands in the document's ``leftover``
-    tokens, its numbers start after every number those tokens spell.
+    """Add ``_mapping``: a document's own mapping, numbered from 1 per category, and where its
+    values stand: ``_seen``, the spans by value, ``_at``, where each value begins there, and
+    ``_pos``, its place in the mapping.
+
+    Everything happens inside the row, so redacting per document needs no shuffle at all, and
+    by sorting, so that many values take little more than linear time. The mapping is in the
+    order in which the detectors meet the values (rank, then position); the first category to
+    meet a value owns it. If a pseudonym stands in the document's ``leftover`` tokens, its
+    numbers start after every number those tokens spell.
     """
     if not detectors:
-        return df.withColumn("_mapping", F.expr("CAST(array() AS array<struct<"
-                                                "value:string,rank:int,n:bigint,new:string>>)"))
+        return df.withColumns({
+            "_mapping": F.expr("CAST(array() AS array<struct<value:string,rank:int,n:bigint,new:string>>)"),
+            "_seen": F.expr("CAST(array() AS array<struct<value:string,v_start:int,v_end:int>>)"),
+            "_at": F.expr("CAST(array() AS array<int>)"), "_pos": F.expr("CAST(array() AS array<int>)")})
     names = list(dict.fromkeys(d.category for d in detectors))
     category = "array(" + ", ".join(str(names.index(d.category)) for d in detectors) + ")"
     keep = _quoted(df)
     df = df.selectExpr("*", (
-        f"array_sort({spans}, (a, b) -> CASE WHEN a.rank <> b.rank THEN a.rank - b.rank"
-        " ELSE a.start - b.start END) AS _seen"
-    ))
-    df = df.selectExpr(*keep, "transform(_seen, x -> x.value) AS _values",
-                       "transform(_seen, x -> x.rank) AS _ranks")
-    df = df.selectExpr(*keep, (
-        "transform(array_distinct(_values), v -> named_struct('value', v, 'rank',"
-        " _ranks[CAST(array_position(_values, v) AS INT) - 1])) AS _first"
-    ))
-    df = df.selectExpr("*", (
-        f"transform(sequence(0, {len(names) - 1}), c -> transform(filter(_first,"
-        f" y -> {category}[y.rank] = c), y -> y.value)) AS _lists"
-    ))
-    df = df.selectExpr(*keep, (
-        "transform(_first, x -> named_struct('value', x.value, 'rank', x.rank, 'n',"
-        f" array_position(_lists[{category}[x.rank]], x.value))) AS _numbered"
+        f"array_sort(transform({spans}, x -> named_struct('value', x.value, 'rank', x.rank, 'start', x.start,"
+        " 'v_start', x.v_start, 'v_end', x.v_end))) AS _seen"
     ))
+    df = df.selectExpr("*", let("ss", "_seen", (
+        "array_compact(transform(ss, (x, i) -> CASE WHEN i = 0 OR x.value <> ss[i - 1].value THEN i END))")) + " AS _at")
+    df = df.selectExpr("*", let("ss", "_seen", (
+        f"array_sort(transform(_at, (i, k) -> named_struct('c', {category}[ss[i].rank], 'rank', ss[i].rank,"
+        " 'start', ss[i].start, 'k', k)))")) + " AS _lists", let("ss", "_seen", (
+        "array_sort(transform(_at, (i, k) -> named_struct('rank', ss[i].rank, 'start', ss[i].start, 'k', k)))"))
+        + " AS _first")
+    # arrays that a lambda looks into are bound outside it: Spark may move the expression of a
+    # column that is named once to its place, and would evaluate it for every element there
+    df = df.selectExpr("*", let("ls", "_lists", let(
+        "below", f"transform(sequence(0, {len(names) - 1}), c -> size(filter(ls, y -> y.c < c)))", (
+            "array_sort(transform(ls, (y, j) -> named_struct('k', y.k, 'n', CAST(j - below[y.c] + 1 AS BIGINT))))")))
+        + " AS _n", "transform(array_sort(transform(_first, (y, j) -> named_struct('k', y.k, 'j', j))), z -> z.j) AS _pos")
+    keep = [*keep, "_seen", "_at", "_pos"]
+    df = df.selectExpr(*keep, let("ss", "_seen", let("ds", "_at", let("ns", "_n", (
+        "transform(_first, y -> named_struct('value', ss[ds[y.k]].value, 'rank', y.rank, 'n', ns[y.k].n))")))) + " AS _numbered")
     whens: dict[str, list[int]] = {}
     for k, d in enumerate(detectors):
         whens.setdefault(render_sql(d.template), []).append(k)
@@ -122,13 +133,17 @@ def redact_in_row(
 ) -> DataFrame:
     """Rewrite ``column`` with the row's own numbering; keeps ``_mapping``."""
     df = mapping_in_row(df, spans, detectors, leftover)
-    keep = _quoted(df)
-    df = df.selectExpr(*keep, "transform(_mapping, m -> m.value) AS _values")
-    df = df.selectExpr(*keep, (
-        f"transform({spans}, x -> named_struct('v_start', x.v_start, 'v_end', x.v_end, 'new',"
-        " _mapping[CAST(array_position(_values, x.value) AS INT) - 1].new)) AS _edits"
-    ))
-    return df.withColumn(column, rebuild_text(column, "_edits")).drop("_edits")
+    edits = let("ss", "_seen", let("ds", "_at", let("ms", "_mapping", let("os", "_pos", (
+        "array_sort(flatten(transform(ds, (i, k) -> transform(slice(ss, i + 1, coalesce(get(ds, k + 1), size(ss)) - i),"
+        " x -> named_struct('v_start', x.v_start, 'v_end', x.v_end, 'new', ms[os[k]].new)))))")))))
+    return df.selectExpr("*", f"{edits} AS _edits").withColumn(column, rebuild_text(column, "_edits")).drop("_edits", "_seen", "_at", "_pos")
+
+
+def pairs_in_row() -> Column:
+    """``_mapping`` as ``{pseudonym: value}``; of several values the last one met counts."""
+    listed = "array_sort(transform(_mapping, (m, j) -> named_struct('p', m.new, 'j', j, 'v', m.value)))"
+    last = "transform(filter(es, (x, i) -> coalesce(get(es, i + 1).p <> x.p, true)), x -> named_struct('p', x.p, 'v', x.v))"
+    return F.expr(let("es", listed, f"map_from_entries({last})"))
 
 
 def explode_mapping(
@@ -140,18 +155,21 @@ def explode_mapping(
         items = ", ".join(text(v) for v in values)
         return F.expr(f"CAST(array({items}) AS array<string>)[m.rank]")
 
-    once = "array_position(_all, m.new) + array_position(reverse(_all), m.new) = size(_all) + 1"
+    # sorted by pseudonym, equal ones are neighbours
+    single = "coalesce(get(es, i - 1).p <> x.p, true) AND coalesce(get(es, i + 1).p <> x.p, true)"
+    judged = let("es", "array_sort(transform(_mapping, m -> named_struct('p', m.new, 'm', m)))", (
+        f"transform(es, (x, i) -> named_struct('m', x.m, 'once', {single}))"))
     return (
-        df.select(scope.alias("scope"), "_mapping",
-                  F.transform("_mapping", lambda m: m["new"]).alias("_all"))
-        .select("scope", "_all", F.explode_outer("_mapping").alias("m"))
-        .where("m IS NOT NULL")
+        df.select(scope.alias("scope"), F.expr(judged).alias("_all"))
+        .select("scope", F.explode_outer("_all").alias("x"))
+        .where("x IS NOT NULL")
+        .select("scope", "x.m", "x.once")
         .select(
             "scope", F.col("m.value").alias("value"), F.col("m.new").alias("pseudonym"),
             fact([d.category for d in detectors]).alias("category"),
             fact([d.name for d in detectors]).alias("pattern"),
             fact([d.confidence for d in detectors]).alias("confidence"),
-            F.col("m.n").alias("n"), F.expr(once).alias("reversible"),
+            F.col("m.n").alias("n"), F.col("once").alias("reversible"),
         )
         .select(*COLUMNS)
     )

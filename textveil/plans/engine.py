@@ -17,7 +17,7 @@ from textveil.functions.dialect import java
 from textveil.functions.templates import is_constant, shapes, shorter
 from textveil.operators.mapping import build_mapping, distinct_values, document_scope, with_scope
 from textveil.operators.restore import restore_exact, restore_join, restore_nested
-from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, redact_in_row
+from textveil.operators.rewrite import apply_edits, edits_by_key, explode_mapping, pairs_in_row, redact_in_row
 from textveil.operators.scan import INLINE_ALLOWLIST, Scanner, explode_spans
 from textveil.operators.skew import hot_keys, join_hot
 from textveil.plans.storage import ROW, stage, with_row
@@ -259,10 +259,7 @@ class Veil:
             raise ValueError("an allowlist table needs batches: use start_redaction")
         scanned = self.scan(df, column)
         rows = redact_in_row(scanned, column, "_spans_0", self.detectors, "_left_0")
-        pairs = F.map_from_entries(F.expr(
-            "transform(array_distinct(transform(_mapping, m -> m.new)), p -> named_struct('p', p,"
-            " 'v', element_at(filter(_mapping, m -> m.new = p), -1).value))"))
-        return rows.withColumn("mapping", pairs).select(*df.columns, "mapping")
+        return rows.withColumn("mapping", pairs_in_row()).select(*df.columns, "mapping")
 
     # -- restoring ----------------------------------------------------------------------
 
