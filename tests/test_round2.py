@@ -198,3 +198,14 @@ def test_text_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
     assert all(r.same for r in got.values())
     sizes = [p.stat().st_size for p in (tmp_path / "out").rglob("*.txt")]
     assert len(sizes) >= 8 and max(sizes) <= 2 * 10_000
+
+
+def test_nested_records_by_scope(spark):
+    df = spark.createDataFrame([(1, "x", "mail a@x.com"), (2, "y", "mail b@y.com"), (3, None, "c@z.com")], "doc_id int, site string, text string")
+    done = mails().redact(df, scope="site")
+    assert {r.pseudonym for r in done.mapping.collect()} == {"user-1@redacted.example.net"}
+    records = done.documents.select("doc_id", "site", F.struct(F.array("text").alias("t"), F.create_map(F.lit("k"), "text").alias("m")).alias("r"))
+    back = mails().restore_nested(records, done.mapping, ["doc_id"], scope="site")
+    want = {r.doc_id: r.text for r in df.collect()}
+    for r in back.collect():
+        assert r.r.t == [want[r.doc_id]] and r.r.m == {"k": want[r.doc_id]} and r.site in ("x", "y", None)

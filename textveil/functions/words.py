@@ -248,51 +248,49 @@ FOREIGN_SECRET_WORDS = {
 
 # --- person names -----------------------------------------------------------
 
-# Common given names and surnames from public census rankings, most frequent first, then the
-# others by the alphabet. The default of a parameter: pass your own lists for wider coverage.
+# The names that decide which word pairs are persons, by the alphabet, with a few more
+# common ones among them. The default of a parameter: pass your own lists for wider coverage.
 GIVEN_NAMES = """
-james mary robert patricia john jennifer michael linda david elizabeth william barbara richard
-susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty
-anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua
-michelle kenneth carol kevin amanda brian melissa george deborah timothy stephanie ronald rebecca
-edward laura jason helen jeffrey sharon ryan cynthia jacob kathleen gary amy nicholas shirley
-eric angela jonathan anna stephen ruth larry brenda justin pamela scott nicole brandon katherine
-benjamin samantha samuel christine gregory emma frank catherine alexander jane patrick olivia
-raymond rachel jack carolyn dennis janet jerry maria tyler heather aaron diane jose julie adam
-joyce henry victoria nathan kelly douglas christina peter grace zachary alice jordan
-abigail alan albert alexis alfred allison amber andrea annie antonio arthur audrey aurora austin
-ava beverly billy bobby brittany bruce bryan camila carl carlos charlotte cheryl chloe christian
-clarence claude clayton clifford clinton cody colin corey craig curtis dallas danielle dean
-debra derek diana dorothy dylan eleanor elena ella eugene evan evelyn faith frances gabriella
-gerald gilbert gloria gordon graham hannah harold harper harry hazel howard hunter isabella
-jacqueline janice jeremy jesse joan joel johnnie johnny juan judith julia keith kristin kyle
-lawrence layla leah liam lillian lily lloyd logan louis lucas lucy luna madison marilyn martha
-martin megan mia miguel natalie noah nora norman oliver oscar penelope philip ralph randy riley
-roger rosa rose roy russell sara scarlett sean simon skylar sophia stanley stella teresa terry
-theresa tiffany todd tommy tony travis victor vincent violet virginia walter warren wayne willie
-zoey
+aaron abigail adam alan albert alexander alexis alfred alice allison amanda amber amy andrea andrew
+angela anna annie anthony antonio arthur ashley audrey aurora austin ava barbara benjamin betty
+beverly billy bobby brandon brenda brian brittany bruce bryan camila carl carlos carol carolyn
+catherine charles charlotte cheryl chloe christian christina christine christopher clarence claude
+clayton clifford clinton cody colin corey craig curtis cynthia dallas daniel danielle david dean
+deborah debra dennis derek diana diane donald donna dorothy douglas dylan edward eleanor elena
+elizabeth ella emily emma eric eugene evan evelyn faith frances frank gabriella gary george gerald
+gilbert gloria gordon grace graham gregory hannah harold harper harry hazel heather helen henry
+howard hunter isabella jack jacob jacqueline james jane janet janice jason jeffrey jennifer jeremy
+jerry jesse jessica joan joel john johnnie johnny jonathan jordan jose joseph joshua joyce juan
+judith julia julie justin karen katherine kathleen keith kelly kenneth kevin kimberly kristin kyle
+larry laura lawrence layla leah liam lillian lily linda lisa lloyd logan louis lucas lucy luna
+madison margaret maria marilyn mark martha martin mary matthew megan melissa mia michael michelle
+miguel nancy natalie nathan nicholas nicole noah nora norman oliver olivia oscar pamela patricia
+patrick paul penelope peter philip rachel ralph randy raymond rebecca richard riley robert roger
+ronald rosa rose roy russell ruth ryan samantha samuel sandra sara sarah scarlett scott sean sharon
+shirley simon skylar sophia stanley stella stephanie stephen steven susan teresa terry theresa
+thomas tiffany timothy todd tommy tony travis tyler victor victoria vincent violet virginia walter
+warren wayne william willie zachary zoey
 """.split()
 
 SURNAMES = """
-smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez
-gonzalez wilson anderson thomas taylor moore jackson martin lee perez thompson white harris
-sanchez clark ramirez lewis robinson walker young allen king wright scott torres nguyen hill
-flores green adams nelson baker hall rivera campbell mitchell carter roberts gomez phillips
-evans turner diaz parker cruz edwards collins reyes stewart morris morales murphy cook rogers
-gutierrez ortiz morgan cooper peterson bailey reed kelly howard ramos kim cox ward richardson
-watson brooks chavez wood james bennett gray mendoza ruiz hughes price alvarez castillo sanders
-patel myers long ross foster jimenez powell jenkins perry russell sullivan bell coleman butler
-henderson barnes fisher vasquez simmons romero jordan patterson alexander hamilton graham
-aguilar alvarado andrews armstrong arnold austin banks barnett barrett berry bishop black booth
-boyd bradley bryant burke burns burton carlson carpenter carr carroll castro chambers chapman
-chen cole crawford cunningham daniels dean delgado dixon dominguez duncan dunn elliott ellis
-espinoza ford fox franklin freeman fuller gardner garrett george gibson gilbert gordon grant
-graves griffin guerrero guzman hansen harper harrison hart harvey hayes henry herrera hicks
-hoffman holmes howell hudson hunt hunter jacobs jensen kennedy knight lane larson lawson li
-lucas lynch maldonado marquez marshall mason matthews mcdonald medina mendez meyer mills
-montgomery moreno morrison munoz murray nichols nunez obrien oliver olson ortega owens palmer
-park payne pena perkins peters pierce porter ray reid reynolds rice riley rios rose ryan salazar
-sandoval santiago santos schmidt shaw silva simpson sims singh snyder soto spencer stephens
-stone tran tucker valdez vargas vega wang warren weaver webb weber wells west williamson willis
-woods
+adams aguilar alexander allen alvarado alvarez anderson andrews armstrong arnold austin bailey baker
+banks barnes barnett barrett bell bennett berry bishop black booth boyd bradley brooks brown bryant
+burke burns burton butler campbell carlson carpenter carr carroll carter castillo castro chambers
+chapman chavez chen clark cole coleman collins cook cooper cox crawford cruz cunningham daniels
+davis dean delgado diaz dixon dominguez duncan dunn edwards elliott ellis espinoza evans fisher
+flores ford foster fox franklin freeman fuller garcia gardner garrett george gibson gilbert gomez
+gonzalez gordon graham grant graves gray green griffin guerrero gutierrez guzman hall hamilton
+hansen harper harris harrison hart harvey hayes henderson henry hernandez herrera hicks hill hoffman
+holmes howard howell hudson hughes hunt hunter jackson jacobs james jenkins jensen jimenez johnson
+jones jordan kelly kennedy kim king knight lane larson lawson lee lewis li long lopez lucas lynch
+maldonado marquez marshall martin martinez mason matthews mcdonald medina mendez mendoza meyer
+miller mills mitchell montgomery moore morales moreno morgan morris morrison munoz murphy murray
+myers nelson nguyen nichols nunez obrien oliver olson ortega ortiz owens palmer park parker patel
+patterson payne pena perez perkins perry peters peterson phillips pierce porter powell price ramirez
+ramos ray reed reid reyes reynolds rice richardson riley rios rivera roberts robinson rodriguez
+rogers romero rose ross ruiz russell ryan salazar sanchez sanders sandoval santiago santos schmidt
+scott shaw silva simmons simpson sims singh smith snyder soto spencer stephens stewart stone
+sullivan taylor thomas thompson torres tran tucker turner valdez vargas vasquez vega walker wang
+ward warren watson weaver webb weber wells west white williams williamson willis wilson wood woods
+wright young
 """.split()

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from textveil.functions.detectors import Detector
 from textveil.functions.templates import is_constant, render_pseudonym
+from textveil.operators.skew import hot_keys, join_hot
 from textveil.plans.storage import stage
 
 MAPPING = ("scope string, value string, pseudonym string, category string, pattern string,"
@@ -314,9 +315,13 @@ def build_mapping(
     return mark_reversible(rows, leftover)
 
 
-def join_mapping(findings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Pseudonym of each finding."""
-    return findings.join(mapping.select("scope", "value", "pseudonym", "n"), ["scope", "value"])
+def join_mapping(findings: DataFrame, mapping: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Pseudonym of each finding. With ``values``, from :func:`distinct_values`, frequent ones are spread."""
+    named, on = mapping.select("scope", "value", "pseudonym", "n"), ["scope", "value"]
+    if values is None:
+        return findings.join(named, on)
+    hot = hot_keys(values, on, values.agg(F.sum("uses")).first()[0] or 0)
+    return join_hot(findings, named, on, hot, ["start", "rank"])
 
 
 def item_count(mapping: DataFrame) -> DataFrame:

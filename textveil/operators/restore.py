@@ -225,23 +225,24 @@ def _strings(column: Column, kind: T.DataType) -> Column:
 
 def restore_nested(
     df: DataFrame, mapping: DataFrame, detectors: Sequence[Detector] | None = None,
-    key: Sequence[str] = (), skip: Sequence[str] = (),
+    key: Sequence[str] = (), skip: Sequence[str] = (), scope: str = "corpus",
 ) -> DataFrame:
     """Restore every string inside structs, arrays and map values, each in one pass.
 
     Each row is first joined to the entries its own strings mention, so the mapping can have
     any size. Without ``detectors`` the shapes of its pseudonyms are taken from the mapping.
-    ``key`` columns and those of ``skip`` stay as they are.
+    ``key`` columns and those of ``skip`` stay as they are, and so does a ``scope`` column: each
+    record is restored by the rows of its own scope.
     """
     columns = [f for f in df.schema
-               if f.name not in (*key, *skip) and holds_strings(f.dataType)]
+               if f.name not in (*key, *skip, scope) and holds_strings(f.dataType)]
     shape = shape_of(detectors) if detectors is not None else mapping_shape(mapping)
     if shape is None or not columns:
         return df
     lines = F.concat_ws("\n", *[_strings(F.col(f.name), f.dataType) for f in columns])
     scanned = scan_tokens(df.withColumn("_lines", lines), "_lines", shape)
     own = (
-        join_tokens(tokens_of(scanned, F.lit("")), mapping)
+        join_tokens(tokens_of(scanned, scope_of(scope, key)), mapping)
         .groupBy(ROW).agg(F.collect_set(F.struct(
             F.col("pseudonym").alias("p"), F.col("_value").alias("o"))).alias("_entries"))
         .withColumn("_entries", longest_first(F.col("_entries")))

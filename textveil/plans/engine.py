@@ -272,8 +272,8 @@ class Veil:
         return restore_exact(df, column, mapping)
 
     def restore_nested(self, df: DataFrame, mapping: DataFrame,
-                       key: Sequence[str] = ()) -> DataFrame:
-        return restore_nested(df, mapping, self.detectors, key)
+                       key: Sequence[str] = (), scope: str = "corpus") -> DataFrame:
+        return restore_nested(df, mapping, self.detectors, key, scope=scope)
 
 
 def _listed(names: str | Sequence[str]) -> list[str]:

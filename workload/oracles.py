@@ -398,6 +398,7 @@ def oracle_sql() -> dict[str, str]:
     out["verify_idempotent"] = out["verify_roundtrip"]
 
     # the caller's own detectors, configuration lines, sources
+    out["restore_nested_by_source"] = "SELECT doc_id, source, text FROM documents"
     out["rejected_values"] = """
     SELECT o_orderkey AS line_id, 'ssn' AS pattern, 4 AS start, '2' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-45-'
       || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS value FROM orders WHERE o_orderkey % 5 > 2

@@ -244,7 +244,7 @@ def join_mapping(spark, sf):
     found = scoped(spark, sf)
     values = stage(mp.distinct_values(found, ["doc_id"], THREE), "values")
     known = stage(mp.build_mapping(values, THREE), "mapping")
-    return mp.join_mapping(found, known).select("doc_id", "start", "value", "pseudonym", "n")
+    return mp.join_mapping(found, known, values).select("doc_id", "start", "value", "pseudonym", "n")
 
 
 def join_hot_values(spark, sf):
@@ -335,6 +335,15 @@ def nested(spark, sf):
         F.expr("record.facts['label'] AS label"))
 
 
+def nested_by_source(spark, sf):
+    """Records restored by the mapping of their own source."""
+    engine = three()
+    done = engine.redact(table(spark, sf, "documents").select("doc_id", "source", "text"), scope="source")
+    records = done.documents.select("doc_id", "source", F.struct(F.array("text", F.lit("plain")).alias("parts")).alias("record"))
+    back = engine.restore_nested(records, done.mapping, ["doc_id"], scope="source")
+    return back.select("doc_id", "source", F.expr("record.parts[0] AS text"))
+
+
 def count_restored(spark, sf):
     engine = three()
     done = engine.redact(documents(spark, sf))
@@ -722,6 +731,7 @@ def queries() -> dict[str, Query]:
         "restore_join": restored("join"),
         "restore_by_document": restored("document"),
         "restore_nested": nested,
+        "restore_nested_by_source": nested_by_source,
         "restored_count": count_restored,
         "union_findings": union,
         "merge_mappings": merged,
