@@ -136,7 +136,7 @@ def test_hardly_any_link_is_cut(spark):
     small = [(a, b) for a, b in links if b >= 2_000]
     assert sum(shard[a] != shard[b] for a, b in small) < 0.025 * len(small)
     hot = Counter(shard[i] for i in range(2_000))
-    assert sum(sorted(hot.values())[-3:]) >= 0.9 * 2_000  # three shards hold it
+    assert max(hot.values()) >= 0.75 * n / 8  # its hub's shard holds little else
 
 
 def test_query_of_shards(spark, tmp_path):

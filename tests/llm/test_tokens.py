@@ -72,7 +72,7 @@ def test_words_are_forgotten_and_met_again(monkeypatch):
     codec = bpe.ByteBPE(bpe.load_ranks(RANKS), P.PATTERN)
     text = "one two three four five six seven eight nine ten unhyphenatedlongword"
     want = codec.encode(text).tolist()
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 600)
     for _ in range(4):
         assert codec.encode(text).tolist() == want and codec.encode("three other words")[0] > 0
 
