@@ -90,8 +90,12 @@ def unambiguous(mapping: DataFrame) -> DataFrame:
     """``(scope, pseudonym, value)`` once each, where a pseudonym stands for one value of its scope."""
     known = mapping.where("reversible").select("scope", "pseudonym", "value")
     digest = F.xxhash64("value")  # minima of numbers are hash aggregates, those of strings sort
-    several = (known.groupBy("scope", "pseudonym").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
-               .where("a <> b").select("scope", "pseudonym"))
+    repeated = stage(
+        known.groupBy("scope", "pseudonym").agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("a"), F.max(digest).alias("b"))
+        .where("n > 1"), "repeated")
+    if repeated.isEmpty():
+        return known
+    several = repeated.where("a <> b").select("scope", "pseudonym")
     return known.distinct().join(several, ["scope", "pseudonym"], "left_anti")
 
 
