@@ -208,11 +208,14 @@ def similar_documents(
     null. An empty table gives an empty result.
     """
     id_type = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("node"))
-    signed = stage(rows.select("id", "node", F.arrow_udf(_signed, "binary")("text").alias("sig")), "signatures")
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("hash"))
+    signed = stage(rows.select("id", "hash", F.arrow_udf(_signed, "binary")("text").alias("sig")), "signatures")
+    # a text is a number from here on: the smallest of binaries is found by sorting, that of numbers
+    # in a hash map, so the rounds that join texts to components need far less memory
     nodes = stage(
-        signed.where("sig IS NOT NULL").groupBy("node").agg(
-            F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")),
+        signed.where("sig IS NOT NULL").groupBy("hash").agg(
+            F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "signed-texts")
     size = 4 * ROWS
     bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"), "sig").select(
@@ -226,24 +229,24 @@ def similar_documents(
     dealt = tiles(members, F.col("bucket"), F.col("node"), F.col("rows"), BUCKET_TILE)
     likely = components(
         tile_by_tile(dealt.select("tile", "block", "node", "sig"), _bucket(threshold, tolerance),
-                     "node binary, root binary"), "node", "root")
+                     "node bigint, root bigint"), "node", "root")
     likely = stage(likely, "clusters")
     sizes = likely.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
     members = likely.join(sizes, "component").join(nodes.drop("sig"), "node")
-    texts = rows.join(members.withColumnRenamed("least", "id0"), "node").where("id <=> id0")
+    texts = rows.join(members.withColumnRenamed("least", "id0"), "hash").where("id <=> id0")
     dealt = tiles(texts, F.hex("component"), F.col("node"), F.col("rows"), CLUSTER_TILE)
     found = stage(
         tile_by_tile(dealt.select("tile", "block", "node", "copies", "text"), _cluster(threshold),
-                     "node binary, root binary, links bigint"), "similar")
+                     "node bigint, root bigint, links bigint"), "similar")
     reached = components(found, "node", "root")
     direct = found.groupBy("node").agg(F.sum("links").alias("links"))
     own = nodes.drop("sig").join(direct, "node", "left").join(reached, "node", "left")
     own = own.withColumn("component", F.coalesce("component", "node"))
     lowest = own.groupBy("component").agg(F.min("least").alias("class_id"))
     answer = own.join(lowest, "component").select(
-        "node", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), text_hash(F.col(text)).alias("node")
-                       ).join(answer, "node", "left")
+        "hash", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = df.select(F.struct("*").alias("row"), F.col(key).alias("id"), text_hash(F.col(text)).alias("hash")
+                       ).join(answer, "hash", "left")
     cls = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).cast(id_type)
     return joined.select("row", F.coalesce("n_links", F.lit(0)).alias("n_links"), cls.alias("class_id"),
                          F.col("id").eqNullSafe(cls).alias("kept"))
