@@ -29,9 +29,11 @@ LETTERS = "etaoinshrdlucmfg"
 
 def letter_counts(line: Column) -> Column:
     """Counts of sixteen letters modulo 4, two bits each."""
-    bytes_ = F.octet_length(line)  # the letters are single bytes
-    counts = [F.shiftleft((bytes_ - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(3), 2 * k)
-              for k, c in enumerate(LETTERS)]
+    counts, left = [], line
+    for k, c in enumerate(LETTERS):  # each letter is looked for in what the earlier ones have left
+        rest = F.replace(left, F.lit(c), F.lit(""))
+        counts.append(F.shiftleft((F.octet_length(left) - F.octet_length(rest)).bitwiseAND(3), 2 * k))  # single bytes
+        left = rest
     return reduce(lambda a, b: a.bitwiseOR(b), counts)
 
 
